@@ -22,6 +22,19 @@ MEMO_CHUNK_CHARS = 64
 _CHUNK = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
 # White space other than ASCII's, before ASCII white space: a cut there is not safe.
 _UNSAFE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000][ \t\n\r\f\v]")
+#: Punctuation that always starts a piece of its own after a letter, in any of the models' patterns.
+_TAIL = ",.!?;:%$*&#|"
+
+
+def _latin(text: str) -> bool:
+    """Whether all characters are Latin-1's; of these, lower case and composition are plain."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class ChunkEncoder:
@@ -47,7 +60,11 @@ class ChunkEncoder:
             self.opens = np.zeros(size, bool)
             self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t[0] in "\u0120\u010a"]] = True
         else:
-            self.mark = self._ids("~")[0] if len(self._ids("~")) == 1 else None
+            # a word of letters only is one piece, and its last token shows that it ends there
+            self.closes = np.zeros(size, bool)
+            self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+            lowered = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("AÉß") == "aéß"
+            self.folds = lowered and self._ids("Aé") == self._ids("aé")
         self.memo: dict[str, bytes] = {}
         self.memo_entries = memo_entries
 
@@ -60,38 +77,47 @@ class ChunkEncoder:
 
     def _joined(self, parts: list[str]) -> list[bytes]:
         """As _plain, in one call of the tokenizer where the parts can be told apart in its result."""
-        if self.keeps_space:
-            joint = "".join(parts)
-        elif self.mark is not None:
-            joint = " ~ ".join(parts)
-        else:
-            return self._plain(parts)
+        joint = ("" if self.keeps_space else " ").join(parts)
         ids = np.array(self.tokenizer.encode_batch_fast([joint], add_special_tokens=False)[0].ids, self.dtype)
         if self.keeps_space:
             starts = np.flatnonzero(self.opens[ids])
             ends = np.append(starts[1:], len(ids))
         else:
-            marks = np.flatnonzero(ids == self.mark)
-            starts, ends = np.append(0, marks + 1), np.append(marks, len(ids))
-        if len(starts) != len(parts) or (self.keeps_space and starts[0]):
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            starts = np.append(0, ends[:-1])
+        if len(starts) != len(parts) or starts[0] or ends[-1] != len(ids):
             return self._plain(parts)
         raw, width = ids.tobytes(), self.dtype.itemsize
         return [raw[a:b] for a, b in zip((starts * width).tolist(), (ends * width).tolist(), strict=True)]
 
     def _learn(self, order: list[str]) -> dict[str, bytes]:
-        # each of the usual parts has a start or an end that shows in the ids
-        usual = [c for c in order if (c[0] in " \n" if self.keeps_space else "~" not in c)]
+        """Ids of chunks. A chunk that ends in punctuation after a letter is put together from its two parts."""
         done: dict[str, bytes] = {}
+        cores: dict[str, str] = {}
+        for c in order:
+            if c[-1] in _TAIL:
+                core = c.rstrip(_TAIL)
+                if core[-1:].isalpha() and len(core[-1].lower()) == 1 and len(c) <= MEMO_CHUNK_CHARS:
+                    cores[c] = core
+        needed = [*(c for c in order if c not in cores), *set(cores.values()), *{c[len(core) :] for c, core in cores.items()}]
+        memo = self.memo
+        needed = list(dict.fromkeys(c for c in needed if c not in memo))
+        # each of the usual parts has a start or an end that shows in the ids
+        usual = [c for c in needed if (c[0] in " \n" if self.keeps_space else c.isalpha() and _latin(c))]
         for at in range(0, len(usual), 2_000):
             part = usual[at : at + 2_000]
             done.update(zip(part, self._joined(part), strict=True))
-        other = [c for c in order if c not in done]
+        other = [c for c in needed if c not in done]
         if other:
             done.update(zip(other, self._plain(other), strict=True))
+        both = lambda c: done[c] if c in done else memo[c]
+        done.update([(c, both(core) + both(c[len(core) :])) for c, core in cores.items()])
         return done
 
     def _chunks(self, text: str) -> list[str] | None:
         """None: the text can't be cut safely."""
+        if not self.keeps_space and self.folds and _latin(text):
+            text = text.lower()  # as the model's normalizer does, for these characters one by one
         words = text.split()
         if not self.keeps_space:
             return None if any(c in text for c in "\x1c\x1d\x1e\x1f") else words
