@@ -7,28 +7,127 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import packing, records
+from millrace.llm import fm, licenses, linecrf, matroska, mixing, nearjoin, packing, records, substring, urlfilter
+
+#: Host and path rules of the URL filter (verdict, host, path).
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+#: Globs for URLs that no rule fits (verdict, glob).
+URL_GLOBS = [
+    ("block", "*casino*"),
+    ("block", "*casino*/**"),
+    ("block", "*pills*"),
+    ("block", "*pills*/**"),
+    ("block", "*bets*"),
+    ("block", "*bets*/**"),
+    ("block", "**/login**"),
+    ("block", "**.exe"),
+]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.media_digests(_table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op4_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return records.round_trip(spark, docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES, URL_GLOBS)
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return fm.score_documents(docs, fm.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_documents(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removal_digests(_table(spark, sf_dir, "documents"), window=35)
+
+
+def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return linecrf.judge_documents(docs, linecrf.fit(docs))
+
+
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearjoin.near_duplicates(_table(spark, sf_dir, "documents")).drop("tie", "first")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_best_fit_packing, op4_binary_records)
+    f.__name__: f
+    for f in (
+        op1_matroska_media,
+        op2_best_fit_packing,
+        op3_license_scan,
+        op4_binary_records,
+        op5_url_filter,
+        op6_quality_classifier,
+        op7_source_mixing,
+        op8_substring_dedup,
+        op9_line_quality,
+        op10_ngram_jaccard_join,
+        pipeline,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The same rules and globs for URLs, as SQL.
+_URL_SQL = r"""
+WITH parts AS (
+  SELECT page_id,
+         translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), judged AS (
+  SELECT page_id, host, path,
+         CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+              WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+              WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+              WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+              WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule
+  FROM parts
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
+            WHEN rule IS NOT NULL THEN 'block'
+            WHEN contains(host, 'casino') OR contains(host, 'pills') OR contains(host, 'bets')
+              OR contains(path, '/login') OR ends_with(host || path, '.exe') THEN 'block'
+            ELSE 'allow' END AS verdict
+FROM judged
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_url_filter": _URL_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -36,4 +135,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE_SQL)
+    import corpus_pipeline
+
+    found = dict(ORACLE_SQL)
+    if corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
