@@ -1 +1 @@
-"""See the functions of this subpackage."""
+"""Column functions."""

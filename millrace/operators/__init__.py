@@ -1 +1 @@
-"""See the functions of this subpackage."""
+"""Operators as compositions of DataFrame operations."""

@@ -1 +1 @@
-"""See the functions of this subpackage."""
+"""Sources and sinks."""
