@@ -192,8 +192,8 @@ def write_records(
     return materialize(rows.mapInArrow(run, MANIFEST), "manifest")
 
 
-def read_records(manifest: DataFrame, chunk_bytes: int = 8 << 20) -> DataFrame:
-    """Read the shards back: ``doc_id, start, n_tokens, ids_crc32, ids`` (32-bit little-endian), checked.
+def read_records(manifest: DataFrame, chunk_bytes: int = 8 << 20, with_ids: bool = True) -> DataFrame:
+    """Read the shards back: ``doc_id, start, n_tokens, ids_crc32`` and ``ids`` (32-bit little-endian), checked.
 
     ``start`` counts the ids of all documents before, over all shards. What
     goes to the driver is one row a shard.
@@ -223,11 +223,11 @@ def read_records(manifest: DataFrame, chunk_bytes: int = 8 << 20) -> DataFrame:
                     for entry, data in zip(part, unframe(f.read(size), part, base), strict=True):
                         doc, known, width = struct.unpack_from(_HEAD, data)
                         ids = np.frombuffer(data, f"<u{width}", offset=_HEAD_SIZE).astype("<u4").tobytes()
-                        row = (doc if known else None, start + int(entry["before"]), int(entry["n_ids"]), zlib.crc32(ids), ids)
-                        yield row, len(ids)
+                        row = (doc if known else None, start + int(entry["before"]), int(entry["n_ids"]), zlib.crc32(ids))
+                        yield (*row, ids) if with_ids else row, 32 + len(ids) * with_ids
                     low = high
 
-    return map_rows(frame_, run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return map_rows(frame_, run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def read_at(path: str, positions: list[int]) -> list[np.ndarray]:
@@ -261,4 +261,4 @@ def round_trip(
     * Further columns are not read.
     """
     del spark
-    return read_records(write_records(df, tokenizer_path, end_id, id_col, text_col)).drop("ids")
+    return read_records(write_records(df, tokenizer_path, end_id, id_col, text_col), with_ids=False)

@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Chunks kept by a worker. At the bound the memo starts afresh.
-MEMO_ENTRIES = 900_000
+MEMO_ENTRIES = 1_300_000
 #: Longer chunks are encoded but not kept.
 MEMO_CHUNK_CHARS = 64
 
