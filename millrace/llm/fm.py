@@ -162,7 +162,7 @@ def train(
     bias = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     rng = np.random.default_rng(seed)
     linear, factors = np.zeros(SLOTS, np.float32), np.zeros((SLOTS, FACTORS), np.float32)
-    if not 0 < share < 1:
+    if not len(labels) or not 0 < share < 1:
         return Model(bias, linear, factors)
     factors = rng.normal(0, 0.05, (SLOTS, FACTORS)).astype(np.float32)
     g_linear, g_factors, g_bias = np.full(SLOTS, 1e-6, np.float32), np.full((SLOTS, FACTORS), 1e-6, np.float32), 1e-6
