@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import fm, licenses, linecrf, matroska, mixing, nearjoin, packing, records, substring, urlfilter
+from millrace.llm import fm, licenses, linecrf, matroska, mixing, nearjoin, packing, records, sql, substring, urlfilter
 
 #: Host and path rules of the URL filter (verdict, host, path).
 URL_RULES = [
@@ -102,32 +102,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-#: The same rules and globs for URLs, as SQL.
-_URL_SQL = r"""
-WITH parts AS (
-  SELECT page_id,
-         translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
-  FROM pages
-), judged AS (
-  SELECT page_id, host, path,
-         CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
-              WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
-              WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
-              WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
-              WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule
-  FROM parts
-)
-SELECT page_id, host, path, rule,
-       CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
-            WHEN rule IS NOT NULL THEN 'block'
-            WHEN contains(host, 'casino') OR contains(host, 'pills') OR contains(host, 'bets')
-              OR contains(path, '/login') OR ends_with(host || path, '.exe') THEN 'block'
-            ELSE 'allow' END AS verdict
-FROM judged
-"""
-
-ORACLE_SQL: dict[str, str] = {"op5_url_filter": _URL_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": sql.license_scan(),
+    "op5_url_filter": sql.URL_FILTER,
+    "op8_substring_dedup": sql.SUBSTRING_DEDUP,
+    "op10_ngram_jaccard_join": sql.JACCARD_JOIN,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
