@@ -7,12 +7,16 @@ similarity is at least 0.8. Copies (equal sets) are one *node*.
    candidates: a pair at 0.8 shares none once in 200,000 times. A shared band is
    a star around its smallest node, never all pairs, and the connected
    components of the stars are groups within which all candidates lie.
-2. A group is dealt into blocks of bounded size, and each pair of blocks is a
-   task of its own. Within it, pairs that share a band are compared MinHash
-   value by MinHash value: after every 48 the posterior probability that the
-   similarity reaches the threshold (uniform prior) is looked at, and the pair
-   is dropped once that is below ``tolerance``. The rest is verified exactly on
-   the sets.
+   A group that has grown beyond ``large_nodes``, as chains of chance candidates
+   may in a large corpus, is taken apart again into its buckets, the nodes of
+   one band key; of buckets with the same nodes one is enough, and a pair counts
+   in the first band that it shares.
+2. A group or bucket is dealt into blocks of bounded size, and each pair of
+   blocks is a task of its own. Within it, pairs that share a band are compared
+   MinHash value by MinHash value: after every 48 the posterior probability that
+   the similarity reaches the threshold (uniform prior) is looked at, and the
+   pair is dropped once that is below ``tolerance``. The rest is verified
+   exactly on the sets.
 3. A task gives one row per node, its links and its local root, however many
    pairs it has seen. Roots are joined to classes by connected components.
 
@@ -42,6 +46,8 @@ STEP = 48  # MinHash values compared between two looks at the posterior
 TOLERANCE = 1e-6
 #: Nodes of a block.
 BLOCK_NODES = 512
+#: Nodes of a group from which on its buckets are verified instead: no node meets more than so many others by chance.
+LARGE_NODES = 8192
 
 _RNG = np.random.default_rng(20_240_601)
 _A = _RNG.integers(1, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -113,11 +119,16 @@ class _Forest:
 
 
 def link_block(
-    sets: list[np.ndarray], side: np.ndarray | None, threshold: tuple[int, int] = THRESHOLD, tolerance: float = TOLERANCE
+    sets: list[np.ndarray],
+    side: np.ndarray | None,
+    threshold: tuple[int, int] = THRESHOLD,
+    tolerance: float = TOLERANCE,
+    band: int = -1,
 ) -> tuple[np.ndarray, list[int]]:
     """Links of each set, and the smallest index it is connected to.
 
-    ``side`` (two blocks): only pairs of different sides count. Without it all pairs do.
+    ``side`` (two blocks): only pairs of different sides count. Without it all
+    pairs do. ``band`` (a bucket): only pairs count whose first shared band it is.
     """
     n = len(sets)
     links, forest = np.zeros(n, np.int64), _Forest(n)
@@ -131,7 +142,8 @@ def link_block(
     looks = least_matches(threshold, tolerance, STEP, signatures.shape[1])
     up, down = threshold
     for x in range(n - 1):
-        y = x + 1 + np.flatnonzero((bands[x + 1 :] == bands[x]).any(axis=1))
+        shares = bands[x + 1 :] == bands[x]
+        y = x + 1 + np.flatnonzero(shares.any(axis=1) if band < 0 else shares[:, band] & ~shares[:, :band].any(axis=1))
         if side is not None:
             y = y[side[y] != side[x]]
         matches, before = np.zeros(len(y), np.int64), 0
@@ -185,10 +197,21 @@ def candidate_stars(nodes: DataFrame) -> DataFrame:
     return rows.join(hubs, ["band", "key"]).filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
 
 
+def large_buckets(nodes: DataFrame) -> DataFrame:
+    """``band, key, node`` of the shared buckets of some nodes; of buckets with the same nodes the one of the first band."""
+    rows = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    mark = F.xxhash64("node")
+    buckets = rows.groupBy("band", "key").agg(
+        F.count("*").alias("n"), F.sum(mark.cast("decimal(38,0)")).alias("total"), F.bit_xor(mark).alias("parity")
+    )
+    first = buckets.filter("n > 1").groupBy("n", "total", "parity").agg(F.min(F.struct("band", "key")).alias("bucket"))
+    return rows.join(first.select("bucket.band", "bucket.key"), ["band", "key"])
+
+
 def _block_tasks(members: DataFrame, block_nodes: int) -> DataFrame:
-    """``group, i, j, side, node, ..``: each member once for every pair of blocks that its block is in."""
-    counts = members.groupBy("group").agg(F.count("*").alias("size"))
-    rows = members.join(counts, "group")
+    """``band, key, i, j, block, ..``: each member once for every pair of blocks of its bucket that its block is in."""
+    counts = members.groupBy("band", "key").agg(F.count("*").alias("size"))
+    rows = members.join(counts, ["band", "key"])
     blocks = F.ceil(F.col("size") / block_nodes).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -196,28 +219,33 @@ def _block_tasks(members: DataFrame, block_nodes: int) -> DataFrame:
 
 
 def verify_groups(tasks: DataFrame, n_gram: int, threshold: tuple[int, int], tolerance: float) -> DataFrame:
-    """``node, links, root, whole`` of ``group, i, j, block, blocks, node, text``; ``whole``: the root is final."""
+    """``node, links, root, whole`` of ``band, key, i, j, block, blocks, node, text``; ``whole``: the root is final.
+
+    A band of -1 stands for a whole group.
+    """
     ddl = "node long, links long, root long, whole boolean"
     schema = arrow_schema(tasks.sparkSession, ddl)
+    names = ["band", "key", "i", "j"]
 
     def close(key: tuple, rows: dict[int, tuple[bytes, int, int]], buffer: RowBuffer) -> None:
-        names = sorted(rows)
-        blocks = rows[names[0]][2]
-        sets = [shingles(rows[x][0], n_gram) for x in names]
-        side = np.array([rows[x][1] for x in names]) if key[1] != key[2] else None
-        links, roots = link_block(sets, side, threshold, tolerance)
-        for x, count, root in zip(names, links.tolist(), roots, strict=True):
-            buffer.add((x, count, names[root], blocks == 1), 40)
+        band, _, i, j = key
+        members = sorted(rows)
+        whole = band < 0 and rows[members[0]][2] == 1
+        sets = [shingles(rows[x][0], n_gram) for x in members]
+        side = np.array([rows[x][1] for x in members]) if i != j else None
+        links, roots = link_block(sets, side, threshold, tolerance, band)
+        for x, count, root in zip(members, links.tolist(), roots, strict=True):
+            buffer.add((x, count, members[root], whole), 40)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buffer, key, rows = RowBuffer(schema), None, {}
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("group", "i", "j", "node", "block", "blocks"))
-            for group, i, j, node, block, blocks, data in zip(*columns, text_bytes(batch.column("text")), strict=True):
-                if (group, i, j) != key:
+            columns = [batch.column(c).to_pylist() for c in (*names, "node", "block", "blocks")]
+            for *now, node, block, blocks, data in zip(*columns, text_bytes(batch.column("text")), strict=True):
+                if tuple(now) != key:
                     if rows:
                         close(key, rows, buffer)
-                    key, rows = (group, i, j), {}
+                    key, rows = tuple(now), {}
                     if buffer.full:
                         yield buffer.take()
                 rows[node] = (data, block, blocks)
@@ -226,8 +254,8 @@ def verify_groups(tasks: DataFrame, n_gram: int, threshold: tuple[int, int], tol
         if buffer.rows:
             yield buffer.take()
 
-    dealt = tasks.select("group", "i", "j", "node", "block", "blocks", "text")
-    return dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(run, ddl)
+    dealt = tasks.select(*names, "node", "block", "blocks", "text")
+    return dealt.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, ddl)
 
 
 def near_duplicates(
@@ -236,6 +264,7 @@ def near_duplicates(
     threshold: tuple[int, int] = THRESHOLD,
     tolerance: float = TOLERANCE,
     block_nodes: int = BLOCK_NODES,
+    large_nodes: int = LARGE_NODES,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -262,8 +291,13 @@ def near_duplicates(
     )
     # the numbers are fixed once written
     nodes = materialize(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    groups = connected_components(candidate_stars(nodes)).select("node", F.col("component").alias("group"))
-    members = groups.join(nodes.select("node", "rep.id", "rep.tie"), "node").withColumnsRenamed({"id": "rep_id", "tie": "rep_tie"})
+    groups = materialize(connected_components(candidate_stars(nodes)), "groups")
+    large = groups.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > large_nodes).select("component")
+    small = groups.join(large, "component", "left_anti").select(F.lit(-1).alias("band"), F.col("component").alias("key"), "node")
+    if not large.isEmpty():
+        inside = groups.join(large, "component", "left_semi").select("node")
+        small = small.unionAll(large_buckets(nodes.join(inside, "node", "left_semi")).select("band", "key", "node"))
+    members = small.join(nodes.select("node", "rep.id", "rep.tie"), "node").withColumnsRenamed({"id": "rep_id", "tie": "rep_tie"})
     docs = source_columns(df, id=id_col, text=text_col).withColumn("tie", F.xxhash64("text"))
     tasks = _block_tasks(members, block_nodes)
     on = docs["id"].eqNullSafe(tasks["rep_id"]) & docs["tie"].eqNullSafe(tasks["rep_tie"])

@@ -69,11 +69,11 @@ def corpus(seed, n=120):
 KEY = lambda r: tuple("" if x is None else str(x) for x in r)
 
 
-@pytest.mark.parametrize("seed,block", [(1, 512), (2, 3)])
-def test_against_all_pairs(spark, seed, block):
+@pytest.mark.parametrize("seed,block,large", [(1, 512, 8192), (2, 3, 8192), (4, 3, 2), (5, 512, 1)])
+def test_against_all_pairs(spark, seed, block, large):
     rows = corpus(seed)
     df = spark.createDataFrame([(*r, 1, 2, "en") for r in rows], SCHEMA).repartition(5)
-    got = nearjoin.near_duplicates(df, block_nodes=block).collect()
+    got = nearjoin.near_duplicates(df, block_nodes=block, large_nodes=large).collect()
     assert sorted(((r.doc_id, r.class_id, r.n_copies, r.n_links) for r in got), key=KEY) == sorted(brute(rows), key=KEY)
 
 
