@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Chunks kept by a worker. At the bound the memo starts afresh.
-MEMO_ENTRIES = 1_300_000
+MEMO_ENTRIES = 900_000
 #: Longer chunks are encoded but not kept.
 MEMO_CHUNK_CHARS = 64
 
@@ -103,7 +103,7 @@ class ChunkEncoder:
         memo = self.memo
         needed = list(dict.fromkeys(c for c in needed if c not in memo))
         # each of the usual parts has a start or an end that shows in the ids
-        usual = [c for c in needed if (c[0] in " \n" if self.keeps_space else c.isalpha() and _latin(c))]
+        usual = [c for c in needed if (c[0] in " \n" if self.keeps_space else c.isalpha() and (c.isascii() or _latin(c)))]
         for at in range(0, len(usual), 2_000):
             part = usual[at : at + 2_000]
             done.update(zip(part, self._joined(part), strict=True))
