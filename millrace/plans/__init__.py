@@ -1,6 +1,6 @@
 """Named queries with the SQL that they are checked against."""
 
-from millrace.plans import connectors, relational, scalars, streams, udfs  # noqa: F401  they register themselves
+from millrace.plans import connectors, more, relational, scalars, streams, udfs  # noqa: F401  they register themselves
 from millrace.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
