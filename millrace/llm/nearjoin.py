@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm._common import RowBuffer, arrow_schema, map_rows, materialize, source_columns, text_bytes
 from millrace.llm.graph import connected_components
-from millrace.llm.substring import _MULTIPLIERS, _mix, _rolling, word_hashes
+from millrace.llm.substring import _MULTIPLIERS, _mix, _rolling, hash_words
 
 N_GRAM = 5
 THRESHOLD = (4, 5)  # 0.8 as a fraction, so that the exact check has no rounding
@@ -50,8 +50,8 @@ BLOCK_NODES = 512
 LARGE_NODES = 8192
 
 _RNG = np.random.default_rng(20_240_601)
-_A = _RNG.integers(1, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64)
+_A = _RNG.integers(0, 1 << 32, BANDS * BAND_ROWS, np.uint32) | np.uint32(1)  # odd: permutations of the 32-bit numbers
+_B = _RNG.integers(0, 1 << 32, BANDS * BAND_ROWS, np.uint32)
 
 
 # ---------------------------------------------------------------- one text
@@ -59,18 +59,18 @@ _B = _RNG.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64)
 
 def shingles(data: bytes, n: int = N_GRAM) -> np.ndarray:
     """Sorted distinct hashes of a text's word n-grams; a shorter text is one gram; no words, none."""
-    hashes = word_hashes(data.split())
+    hashes = hash_words(data)[0]
     if not len(hashes):
         return np.empty(0, np.uint64)
     return np.unique(_mix(_rolling(hashes, min(n, len(hashes)), _MULTIPLIERS[0])))
 
 
 def minhash(grams: np.ndarray) -> np.ndarray:
-    """MinHash values, 32 bits each, of a set that isn't empty."""
+    """MinHash values, 32 bits each, of a set that isn't empty, from the upper halves of its hashes."""
+    upper = (grams >> np.uint64(32)).astype(np.uint32)
     out = np.full(len(_A), 0xFFFFFFFF, np.uint32)
-    for low in range(0, len(grams), 1024):
-        part = (grams[None, low : low + 1024] * _A[:, None] + _B[:, None]) >> np.uint64(32)
-        np.minimum(out, part.min(axis=1).astype(np.uint32), out=out)
+    for low in range(0, len(upper), 1024):
+        np.minimum(out, (upper[None, low : low + 1024] * _A[:, None] + _B[:, None]).min(axis=1), out=out)
     return out
 
 

@@ -26,8 +26,10 @@ is the same.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -44,27 +46,13 @@ MAX_CELLS = 1 << 31
 MIN_CELLS = 1 << 20
 #: Cells of a block, the unit in which sketches are merged.
 BLOCK_CELLS = 1 << 16
-#: Distinct words whose hashes a worker keeps.
-MEMO_WORDS = 400_000
+#: Bytes whose words are hashed together.
+SEGMENT_BYTES = 1 << 18
 
-_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so they have inverses modulo 2**64
-
-
-class _WordHashes(dict):
-    """64-bit hashes of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        value = xxhash.xxh64_intdigest(word, 0x5EED)
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-
-_WORDS = _WordHashes()
+_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD1342543DE82EF95)  # odd, so they have inverses modulo 2**64
+_SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[list(b" \t\n\r\x0b\x0c")] = True
 
 
 @lru_cache(maxsize=8)
@@ -99,8 +87,37 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+def _segments(data: bytes) -> Iterator[tuple[int, int]]:
+    """Parts of a text of about SEGMENT_BYTES, cut where a word ends."""
+    low = 0
+    while low < len(data):
+        high = low + SEGMENT_BYTES
+        if high < len(data):
+            cut = _SPACE.search(data, high)
+            high = cut.start() if cut else len(data)
+        yield low, min(high, len(data))
+        low = high
+
+
+def hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words of a text: runs of anything but ASCII white space.
+
+    A word's hash is that of its bytes as a polynomial, from sums over the whole
+    segment, so that no word is looked at by itself.
+    """
+    parts = []
+    for low, high in _segments(data):
+        text = np.frombuffer(data, np.uint8, high - low, low)
+        edges = np.flatnonzero(np.diff(_IS_SPACE[text], prepend=True, append=True))
+        starts, ends = edges[::2], edges[1::2]
+        ups, downs = _powers(_MULTIPLIERS[2], 1 << max(12, len(text).bit_length()))
+        sums = np.zeros(len(text) + 1, np.uint64)
+        np.cumsum((text + np.uint64(1)) * ups[: len(text)], out=sums[1:])
+        parts.append((_mix((sums[ends] - sums[starts]) * downs[starts]), starts + low, ends + low))
+    if not parts:
+        none = np.empty(0, np.int64)
+        return np.empty(0, np.uint64), none, none
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
 def anchors(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +136,7 @@ def anchors(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple
 
 def window_hashes(hashes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit hashes of each window."""
-    return tuple(_mix(_rolling(hashes, window, m)).view(np.int64) for m in _MULTIPLIERS)
+    return tuple(_mix(_rolling(hashes, window, m)).view(np.int64) for m in _MULTIPLIERS[:2])
 
 
 def cells_of(keys: np.ndarray, cells: int, row: int) -> np.ndarray:
@@ -165,7 +182,7 @@ def build_sketch(docs: DataFrame, cells: int, window: int, gram: int) -> str:
         found: list[np.ndarray] = []
         for batch in batches:
             for data in text_bytes(batch.column("text")):
-                grams, places = anchors(word_hashes(data.split()), window, gram)
+                grams, places = anchors(hash_words(data)[0], window, gram)
                 if len(places):
                     found.append(grams[places[np.append(True, places[1:] != places[:-1])]])
         if not found:
@@ -300,7 +317,7 @@ def remove_repeated(
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("id", "tie"))
             for doc, tie, data in zip(*columns, text_bytes(batch.column("text")), strict=True):
-                hashes = word_hashes(data.split())
+                hashes = hash_words(data)[0]
                 starts = candidates(hashes, bits, cells, window, gram)
                 if not len(starts):
                     continue
@@ -327,18 +344,20 @@ def remove_repeated(
     places = unique.groupBy("id", "tie").agg(F.sort_array(F.collect_list("start")).alias("unique_starts"))
     places = places.select(F.col("id").alias("p_id"), F.col("tie").alias("p_tie"), "unique_starts")
 
-    def shown(words: bytes, changed: bool) -> str | None:
+    def shown(words: list[bytes], changed: bool) -> str | None:
         if kept == "changed" and not changed:
             return None
-        return hashlib.sha256(words).hexdigest() if kept == "digest" else words.decode()
+        joined = b" ".join(words)
+        return hashlib.sha256(joined).hexdigest() if kept == "digest" else joined.decode()
 
     def split(batch: pa.RecordBatch):
         bits = _load_sketch(sketch, cells)
         columns = (batch.column(c).to_pylist() for c in ("id", "tie"))
         for doc, tie, data in zip(*columns, text_bytes(batch.column("text")), strict=True):
-            words = data.split()
-            found = len(candidates(word_hashes(words), bits, cells, window, gram)) > 0
-            yield (doc, tie, len(words), found, data.decode() if found else shown(b" ".join(words), False)), len(data) + 32
+            hashes = hash_words(data)[0]
+            found = len(candidates(hashes, bits, cells, window, gram)) > 0
+            text = data.decode() if found else shown(data.split(), False)
+            yield (doc, tie, len(hashes), found, text), len(data) + 32
 
     def cut(batch: pa.RecordBatch):
         bits = _load_sketch(sketch, cells)
@@ -346,13 +365,13 @@ def remove_repeated(
         for doc, tie, n, found, unique_starts, text in zip(*columns, batch.column("text").to_pylist(), strict=True):
             removed = 0
             if found:
-                words = text.encode().split()
-                starts = candidates(word_hashes(words), bits, cells, window, gram)
+                data = text.encode()
+                starts = candidates(hash_words(data)[0], bits, cells, window, gram)
                 if unique_starts:
                     starts = np.setdiff1d(starts, np.array(unique_starts, np.int64), assume_unique=True)
                 gone = covered(n, starts, window)
                 removed = int(gone.sum())
-                text = shown(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]), removed > 0)
+                text = shown(list(compress(data.split(), (~gone).tolist())), removed > 0)
             yield (doc, tie, n, removed, text), len(text or "") + 32
 
     rows = map_rows(docs, split, "id long, tie long, n long, open boolean, text string")

@@ -101,11 +101,16 @@ def test_posterior_bounds():
 
 
 def test_minhash_estimates():
-    a = " ".join(str(i) for i in range(1000)).encode()
-    b = " ".join(str(i) for i in range(100, 1100)).encode()
-    x, y = nearjoin.shingles(a), nearjoin.shingles(b)
-    truth = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
-    assert (nearjoin.minhash(x) == nearjoin.minhash(y)).mean() == pytest.approx(truth, abs=0.1)
+    """Mean and spread of the share of equal values are those of independent draws."""
+    rng = np.random.default_rng(7)
+    for n in (20, 300):
+        shares = []
+        for _ in range(400):
+            grams = rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2)
+            k = n // 10
+            shares.append((nearjoin.minhash(grams[: n - k]) == nearjoin.minhash(grams[k:])).mean())
+        assert np.mean(shares) == pytest.approx(0.8, abs=0.01)
+        assert np.std(shares) == pytest.approx((0.16 / 240) ** 0.5, rel=0.15)
 
 
 @pytest.mark.parametrize("seed", range(3))
