@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 #: Rows are handed back to Spark once about this many bytes are waiting.
 FLUSH_BYTES = 8 << 20
+#: Rows that are Python objects at a time.
+SLICE_ROWS = 512
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -39,6 +42,33 @@ def texts(values: pa.Array) -> list[str]:
     return [v or "" for v in values.to_pylist()]
 
 
+_CACHES: list[Callable[[], None]] = []
+_serving: list[str] = []
+
+
+def frees_between_queries(clear: Callable[[], None]) -> None:
+    """Register what empties a cache of the worker process once it works for another query."""
+    _CACHES.append(clear)
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that only their Python objects exist at a time.
+
+    Workers outlive tasks. Caches serve all tasks of a query, stages that run
+    side by side included, and are emptied here as another query's first task begins.
+    """
+    context = TaskContext.get()
+    if context is not None:
+        query = context.getLocalProperty("spark.sql.execution.id") or f"stage {context.stageId()}"
+        if [query] != _serving:
+            _serving[:] = [query]
+            for clear in _CACHES:
+                clear()
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 class RowBuffer:
     """Collects rows column by column and gives them out as Arrow batches."""
 
@@ -79,7 +109,7 @@ def map_rows(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buffer = RowBuffer(arrow)
-        for batch in batches:
+        for batch in sliced(batches):
             for row, weight in function(batch):
                 buffer.add(row, weight)
                 if buffer.full:

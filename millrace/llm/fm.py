@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import map_rows, source_columns, texts
+from millrace.llm._common import frees_between_queries, map_rows, sliced, source_columns, texts
 
 SLOTS = 1 << 16
 FACTORS = 8
@@ -64,6 +64,7 @@ class _Slots(dict):
 
 
 _SLOT = _Slots()
+frees_between_queries(_SLOT.clear)
 
 
 def _step(share: float) -> int:
@@ -261,7 +262,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_c
 
     def run(batches):
         at = None
-        for batch in batches:
+        for batch in sliced(batches):
             at = batch.schema.get_field_index(text_col) if at is None else at
             raw = texts(batch.column(at))
             keep: list[bool] = []

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._common import WORD_PATTERN, RowBuffer, arrow_schema, materialize, source_columns
+from millrace.llm._common import WORD_PATTERN, RowBuffer, arrow_schema, materialize, sliced, source_columns
 
 #: Documents that a bucket of the first level holds on average.
 BUCKET_DOCS = 4096
@@ -96,7 +96,7 @@ def _chain(schema: pa.Schema, last: bool):
                     carry[at["fraction"]] = 0.0
                 buffer.add(tuple(carry), 100)
 
-        for batch in batches:
+        for batch in sliced(batches, 4096):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 row = list(row)
                 if (row[at["source"]], row[at["bucket"]]) != group:

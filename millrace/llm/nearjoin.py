@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._common import RowBuffer, arrow_schema, map_rows, materialize, source_columns, text_bytes
+from millrace.llm._common import RowBuffer, arrow_schema, map_rows, materialize, sliced, source_columns, text_bytes
 from millrace.llm.graph import connected_components
 from millrace.llm.substring import _MULTIPLIERS, _mix, _rolling, hash_words
 
@@ -239,7 +239,7 @@ def verify_groups(tasks: DataFrame, n_gram: int, threshold: tuple[int, int], tol
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buffer, key, rows = RowBuffer(schema), None, {}
-        for batch in batches:
+        for batch in sliced(batches):
             columns = [batch.column(c).to_pylist() for c in (*names, "node", "block", "blocks")]
             for *now, node, block, blocks, data in zip(*columns, text_bytes(batch.column("text")), strict=True):
                 if tuple(now) != key:

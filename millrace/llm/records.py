@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._common import RowBuffer, arrow_schema, map_rows, materialize, shared_dir, source_columns, texts
+from millrace.llm._common import RowBuffer, arrow_schema, map_rows, materialize, shared_dir, sliced, source_columns, texts
 from millrace.llm.tokenization import encoder, in_slices
 
 _HEAD = "<qBB"
@@ -171,7 +171,7 @@ def write_records(
         end = np.array([end_id], model.dtype).tobytes()
         width, entries, at, before = model.dtype.itemsize, [], 0, 0
         with fs.open_output_stream(f"{folder}/{name}") as out:
-            for batch in batches:
+            for batch in sliced(batches):
                 docs, column = batch.column("id").to_pylist(), texts(batch.column("text"))
                 for part in in_slices(column):
                     records = [

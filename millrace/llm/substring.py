@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import RowBuffer, arrow_schema, map_rows, mapped, shared_dir, source_columns, text_bytes
+from millrace.llm._common import RowBuffer, arrow_schema, frees_between_queries, map_rows, mapped, shared_dir, sliced, source_columns, text_bytes
 
 WINDOW = 35
 GRAM = 18
@@ -180,7 +180,7 @@ def build_sketch(docs: DataFrame, cells: int, window: int, gram: int) -> str:
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
-        for batch in batches:
+        for batch in sliced(batches):
             for data in text_bytes(batch.column("text")):
                 grams, places = anchors(hash_words(data)[0], window, gram)
                 if len(places):
@@ -226,6 +226,9 @@ def _load_sketch(path: str, cells: int) -> np.ndarray:
     return bits
 
 
+frees_between_queries(_load_sketch.cache_clear)
+
+
 def estimated_repeated(keys: np.ndarray, bits: np.ndarray, cells: int) -> np.ndarray:
     """Whether the estimate, the least over the rows, is two or more."""
     out = np.ones(len(keys), bool)
@@ -314,7 +317,7 @@ def remove_repeated(
                     schema=schema,
                 )
 
-        for batch in batches:
+        for batch in sliced(batches):
             columns = (batch.column(c).to_pylist() for c in ("id", "tie"))
             for doc, tie, data in zip(*columns, text_bytes(batch.column("text")), strict=True):
                 hashes = hash_words(data)[0]

@@ -14,6 +14,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from millrace.llm._common import frees_between_queries
+
 #: Chunks kept by a worker. At the bound the memo starts afresh.
 MEMO_ENTRIES = 900_000
 #: Longer chunks are encoded but not kept.
@@ -162,6 +164,9 @@ def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
+frees_between_queries(encoder.cache_clear)
+
+
 def in_slices(texts: list[str], chars: int = 4 << 20):
     """Slices of the list whose texts have about so many characters, at least one text each."""
     start = size = 0
