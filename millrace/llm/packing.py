@@ -34,8 +34,8 @@ from millrace.llm._common import map_rows, materialize, source_columns, texts
 from millrace.llm.tokenization import encoder, in_slices
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
-#: Pieces that one salted slice of a length should hold at most, on average.
-SLICE_ROWS = 250_000
+#: Pieces that one salted slice of a length holds on average, if the length has more.
+SLICE_ROWS = 1_000
 
 
 # ---------------------------------------------------------------- the plan
@@ -231,25 +231,24 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """
     spark = pieces.sparkSession
     pieces = materialize(pieces, "pieces")
-    total = pieces.count()
-    slices = 1 + total // SLICE_ROWS
-    salted = pieces.withColumn(
-        "salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(slices)).cast("int")
-    )
-    # at most capacity x slices rows, of three numbers each
-    sizes = sorted((r.length, r.salt, r.n) for r in salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect())
-    counts, before = np.zeros(capacity + 1, np.int64), []
-    for length, salt, n in sizes:
-        before.append((length, salt, int(counts[length])))
-        counts[length] += n
+    # at most one row for each length up to the capacity
+    totals = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()
+    counts = np.zeros(capacity + 1, np.int64)
+    for row in totals:
+        counts[row.length] = row.n
     spots = placements(plan_packing(counts, capacity))
-    first = spark.createDataFrame(before, "length int, salt int, before long")
     spot = spark.createDataFrame(spots, "length int, low long, high long, sequence long, fit long, base long")
+    slices = spark.createDataFrame([(r.length, 1 + r.n // SLICE_ROWS) for r in totals], "length int, slices long")
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.col("slices"))
+    salted = pieces.join(F.broadcast(slices), "length").withColumn("salt", salt)  # a row for each length
+    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    lower = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("length", "salt", F.coalesce(F.sum("n").over(lower), F.lit(0)).alias("before"))
     in_slice = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = (
-        salted.withColumn("place", F.row_number().over(in_slice))
-        .join(F.broadcast(first), ["length", "salt"])  # capacity x slices rows
-        .withColumn("place", F.col("before") + F.col("place") - 1)
+        salted.withColumn("rank", F.row_number().over(in_slice))
+        .join(before, ["length", "salt"])
+        .withColumn("place", F.col("before") + F.col("rank") - 1)
     )
     near = (F.col("place") >= F.col("low")) & (F.col("place") < F.col("high"))
     spot = spot.withColumnRenamed("length", "spot_length")
