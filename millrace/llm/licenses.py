@@ -92,16 +92,25 @@ def votes(docs: DataFrame, runs: DataFrame, k: int = K) -> DataFrame:
 def merge_diagonals(tally: DataFrame, slack: int = SLACK) -> DataFrame:
     """Spans of neighbouring diagonals, with the share of the template's runs that they hold.
 
-    A diagonal joins the span before it if they are at most ``slack`` apart. The
+    ``places`` counts the diagonals that hold the whole template literally;
+    ``first_place`` and ``last_place`` are the outer ones. A diagonal joins the span before it if they are at most ``slack`` apart. The
     groups are those of one text and template.
     """
     order = Window.partitionBy("id", "tie", "template").orderBy("diagonal")
     gap = F.col("diagonal") - F.lag("diagonal").over(order)
     marked = tally.withColumn("opens", F.when(gap.isNull() | (gap > slack), 1).otherwise(0))
     spans = marked.withColumn("span", F.sum("opens").over(order))
+    literal = F.when(F.col("votes") == F.col("runs"), F.col("diagonal"))
     return (
         spans.groupBy("id", "tie", "template", "label", "base", "runs", "span")
-        .agg(F.min("diagonal").alias("first"), F.max("diagonal").alias("last"), F.flatten(F.collect_list("held")).alias("held"))
+        .agg(
+            F.min("diagonal").alias("first"),
+            F.max("diagonal").alias("last"),
+            F.flatten(F.collect_list("held")).alias("held"),
+            F.count(literal).alias("places"),
+            F.min(literal).alias("first_place"),
+            F.max(literal).alias("last_place"),
+        )
         .withColumn("coverage", F.size(F.array_distinct("held")) / F.col("runs"))
         .drop("held")
     )
@@ -132,26 +141,15 @@ def scan_licenses(
     runs = template_runs(df.sparkSession, phrases, templates, k)
     docs = source_columns(df, id=id_col, text=text_col)
     docs = docs.select("id", F.xxhash64("text").alias("tie"), words_of(F.col("text")).alias("words"))
-    tally = votes(docs, runs, k)
-    spans = merge_diagonals(tally, slack)
-    literal = tally.filter(F.col("base") & (F.col("votes") == F.col("runs"))).select(
-        "id", "tie", F.col("diagonal").alias("place"), F.col("label").alias("base_label"), F.col("label"), F.lit(1.0).alias("coverage")
-    )
-    fuzzy = spans.select(
-        "id",
-        "tie",
-        F.lit(None).cast("int").alias("place"),
-        F.lit(None).cast("string").alias("base_label"),
-        F.when((F.col("coverage") >= coverage) & ~F.col("base"), F.col("label")).alias("label"),
-        "coverage",
-    )
+    spans = merge_diagonals(votes(docs, runs, k), slack)
+    stands = F.col("base") & (F.col("places") > 0)
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    found = literal.unionAll(fuzzy).groupBy("id", "tie").agg(
-        F.count("place").alias("n_base"),
-        F.min("place").cast("long").alias("first_word"),
-        F.max("place").cast("long").alias("last_word"),
-        joined("base_label").alias("base_labels"),
-        joined("label").alias("labels"),
+    found = spans.groupBy("id", "tie").agg(
+        F.sum(F.when(stands, F.col("places"))).alias("n_base"),
+        F.min(F.when(stands, F.col("first_place"))).cast("long").alias("first_word"),
+        F.max(F.when(stands, F.col("last_place"))).cast("long").alias("last_word"),
+        joined(F.when(stands, F.col("label"))).alias("base_labels"),
+        joined(F.when(stands | ((F.col("coverage") >= coverage) & ~F.col("base")), F.col("label"))).alias("labels"),
         F.max("coverage").alias("score"),
     )
     found = found.withColumnsRenamed({"id": "f_id", "tie": "f_tie"})
