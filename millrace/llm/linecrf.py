@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,24 @@ def _cut(value: float, edges: tuple[float, ...]) -> int:
     return sum(value >= e for e in edges)
 
 
+@cache
+def _classes() -> np.ndarray:
+    """For each code point, bits: 1 letter, 2 upper-case, 4 digit."""
+    chars = list(map(chr, range(0x110000)))
+    tests = (str.isalpha, str.isupper, str.isdigit)
+    return sum(np.fromiter(map(test, chars), np.uint8, len(chars)) << k for k, test in enumerate(tests)).astype(np.uint8)
+
+
+def count_classes(line: str) -> tuple[int, int, int]:
+    """Letters, upper-case letters and digits among all characters of the line."""
+    counts = np.zeros(8, np.int64)
+    for at in range(0, len(line), 1 << 16):  # all pieces are counted; they bound the arrays of a very long line
+        codes = np.frombuffer(line[at : at + (1 << 16)].encode("utf-32-le", "surrogatepass"), np.uint32)
+        counts += np.bincount(_classes()[codes], minlength=8)
+    c = counts.tolist()
+    return c[1] + c[3] + c[5] + c[7], c[2] + c[3] + c[6] + c[7], c[4] + c[5] + c[6] + c[7]
+
+
 def line_features(lines: list[str]) -> tuple[list[list[int]], list[int], list[int]]:
     """For each line that has a word: its features, its words, and its guessed label (1: content)."""
     out, sizes, guesses, seen = [], [], [], set()
@@ -55,11 +74,8 @@ def line_features(lines: list[str]) -> tuple[list[list[int]], list[int], list[in
     for k, line in enumerate(kept):
         words = line.split()
         n, size = max(1, len(words)), len(line)
-        letters = sum(map(str.isalpha, line)) if size < 200 else sum(map(str.isalpha, line[:: 1 + size // 200]))
-        step = 1 if size < 200 else 1 + size // 200
-        sample = line[::step]
-        upper = sum(map(str.isupper, sample)) / max(1, letters)
-        digits = sum(map(str.isdigit, sample)) / max(1, len(sample))
+        letters, capitals, numerals = count_classes(line)
+        upper, digits = capitals / max(1, letters), numerals / size
         symbols = sum(map(line.count, SYMBOLS)) / size
         marks = sum(w.strip(".,:;!()|").lower() in MARKERS for w in words) if n <= 40 else 0
         distinct = len(set(words)) / n

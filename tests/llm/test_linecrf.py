@@ -40,6 +40,16 @@ def test_base_against_brute_force():
         assert linecrf.base_rules(text) == brute_base(text)
 
 
+def test_shares_count_whole_lines():
+    names = [linecrf.FEATURES[k] for k in linecrf.line_features(["Ab1" * 133 + "A"])[0][0]]
+    assert "upper <.6" in names and "digits .2+" in names
+    rng = random.Random(3)
+    pools = ["Ab1", "aB9 .\u01c5\u00b2\u0663\u00aa\U0001d400\ud800", "".join(map(chr, range(0x3000)))]
+    for size in (1, 199, 200, 400, 24_647, 65_536, 150_001):
+        for line in ["".join(rng.choices(pool, k=size)) for pool in pools]:
+            assert linecrf.count_classes(line) == tuple(sum(map(f, line)) for f in (str.isalpha, str.isupper, str.isdigit))
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_viterbi_is_the_best_path(seed):
     rng = np.random.default_rng(seed)
