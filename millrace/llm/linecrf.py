@@ -77,7 +77,7 @@ def line_features(lines: list[str]) -> tuple[list[list[int]], list[int], list[in
         letters, capitals, numerals = count_classes(line)
         upper, digits = capitals / max(1, letters), numerals / size
         symbols = sum(map(line.count, SYMBOLS)) / size
-        marks = sum(w.strip(".,:;!()|").lower() in MARKERS for w in words) if n <= 40 else 0
+        marks = sum(w.strip(".,:;!()|").lower() in MARKERS for w in words)
         distinct = len(set(words)) / n
         exclaims, pipes = line.count("!") / n, line.count("|")
         ends = line.rstrip(_SPACE)[-1:] in ".?!…\"'»”"

@@ -50,6 +50,15 @@ def test_shares_count_whole_lines():
             assert linecrf.count_classes(line) == tuple(sum(map(f, line)) for f in (str.isalpha, str.isupper, str.isdigit))
 
 
+@pytest.mark.parametrize("n", [40, 41, 400, 20_000])
+def test_markers_count_in_lines_of_any_length(n):
+    rows, sizes, guesses = linecrf.line_features([" ".join(itertools.islice(itertools.cycle(sorted(linecrf.MARKERS)), n)), "x " * n + "Privacy."])
+    found = [{linecrf.FEATURES[k] for k in row} for row in rows]
+    assert sizes == [n, n + 1] and guesses[0] == 0
+    assert {"marker word", "half markers"} <= found[0]
+    assert "marker word" in found[1] and "half markers" not in found[1]
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_viterbi_is_the_best_path(seed):
     rng = np.random.default_rng(seed)
