@@ -157,6 +157,13 @@ def join_full(t: Tables) -> DataFrame:
     return a.join(b, F.col("s_nationkey") == F.col("c_nationkey"), "full").select(F.col("s_suppkey").alias("a_key"), F.col("c_custkey").alias("b_key"))
 
 
+@query("SELECT a.s_suppkey AS a_key, b.c_custkey AS b_key FROM (SELECT * FROM supplier WHERE s_nationkey < 5) a FULL JOIN "
+       "(SELECT * FROM customer WHERE c_nationkey > 3) b ON s_nationkey = c_nationkey")
+def join_full_all_customers(t: Tables) -> DataFrame:
+    a, b = t.supplier.filter("s_nationkey < 5"), t.customer.filter("c_nationkey > 3")
+    return a.join(b, F.col("s_nationkey") == F.col("c_nationkey"), "full").select(F.col("s_suppkey").alias("a_key"), F.col("c_custkey").alias("b_key"))
+
+
 @query("SELECT a.r_name AS a, b.r_name AS b FROM region a CROSS JOIN region b")
 def join_cross(t: Tables) -> DataFrame:
     return t.region.select(F.col("r_name").alias("a")).crossJoin(t.region.select(F.col("r_name").alias("b")))
