@@ -139,6 +139,21 @@ def vector_similarity(t: Tables) -> DataFrame:
     )
 
 
+@query("SELECT b.vec_id AS query_id, a.vec_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) + 0.0 AS dot, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) + 0.0 AS cos, "
+       "round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS l2 FROM embeddings a JOIN embeddings b ON b.vec_id % 100 = 0")
+def vector_similarity_join(t: Tables) -> DataFrame:
+    queries = t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("probe"))
+    a, b = F.col("embedding"), F.col("probe")
+    # no hint: few queries are broadcast, many are crossed in blocks, partition by partition
+    return t.embeddings.crossJoin(queries).select(
+        "query_id",
+        "vec_id",
+        F.round(vectors.dot(a, b), 4).alias("dot"),
+        F.round(vectors.cosine(a, b), 6).alias("cos"),
+        F.round(vectors.l2_distance(a, b), 5).alias("l2"),
+    )
+
+
 @query(r"SELECT doc_id, md5(trim(regexp_replace(lower(text), '[\x20\x09-\x0D]+', ' ', 'g'))) AS print, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM documents")
 def text_fingerprint(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.fingerprint(F.col("text")).alias("print"), text.word_count(F.col("text")).alias("n"))

@@ -24,3 +24,9 @@ def test_join_full_all_customers(spark, tmp_path):
     want = {(x, y) for x in a for y in b if a[x] == b[y]}
     want |= {(x, None) for x in a if a[x] not in b.values()} | {(None, y) for y in b if b[y] not in a.values()}
     assert got == want and {y for _, y in got} - {None} == set(b)
+
+
+def test_vector_similarity_join(spark):
+    got = {(r.query_id, r.vec_id) for r in QUERIES["vector_similarity_join"](spark, SF).collect()}
+    ids = {r["vec_id"] for r in table("embeddings")}
+    assert got == {(q, v) for q in ids if q % 100 == 0 for v in ids} and len({q for q, _ in got}) > 1
