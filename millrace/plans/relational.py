@@ -119,6 +119,12 @@ def posexplode_vector(t: Tables) -> DataFrame:
     return rows.select("vec_id", F.col("pos").cast("long").alias("pos"), "value")
 
 
+@query("SELECT vec_id, i - 1 AS pos, embedding[i] AS value FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)")
+def posexplode_whole_vector(t: Tables) -> DataFrame:
+    rows = t.embeddings.select("vec_id", F.posexplode("embedding").alias("pos", "value"))
+    return rows.select("vec_id", F.col("pos").cast("long").alias("pos"), "value")
+
+
 @query("WITH RECURSIVE c(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM c WHERE n < 12) SELECT n, f FROM c")
 def recursive_cte(t: Tables) -> DataFrame:
     return t.spark.sql(

@@ -30,3 +30,8 @@ def test_vector_similarity_join(spark):
     got = {(r.query_id, r.vec_id) for r in QUERIES["vector_similarity_join"](spark, SF).collect()}
     ids = {r["vec_id"] for r in table("embeddings")}
     assert got == {(q, v) for q in ids if q % 100 == 0 for v in ids} and len({q for q, _ in got}) > 1
+
+
+def test_posexplode_whole_vector(spark):
+    got = {(r.vec_id, r.pos): r.value for r in QUERIES["posexplode_whole_vector"](spark, SF).collect()}
+    assert got == {(r["vec_id"], k): x for r in table("embeddings") for k, x in enumerate(r["embedding"])}
