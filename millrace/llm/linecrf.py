@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from millrace.llm._common import map_rows, source_columns, texts
 
-#: Documents that the CRF is fitted on at most, and lines that one gives to the fit.
-SAMPLE_DOCS, SAMPLE_LINES = 400, 256
+#: Documents that the CRF is fitted on at most, with all their lines.
+SAMPLE_DOCS = 400
+#: Longer chains are cut into pieces of so many lines for the fit; no line or transition is lost.
+PIECE = 256
 #: Share of the words that must stand in content lines.
 CONTENT_SHARE = 0.5
 SYMBOLS = "#*$%&|<>"
@@ -138,17 +140,28 @@ class Crf:
 
 
 def train(sequences: list[tuple[list[list[int]], list[int]]], steps: int = 150, rate: float = 0.1, decay: float = 1e-3) -> Crf:
-    """Maximum likelihood with an L2 penalty. Without sequences all weights are 0: every line is content."""
+    """Maximum likelihood with an L2 penalty. Without sequences all weights are 0: every line is content.
+
+    A piece of a long chain is entered from the label of the line before it.
+    """
     n_features = len(FEATURES)
     emit, move, start = np.zeros((2, n_features)), np.zeros((2, 2)), np.zeros(2)
     sequences = [s for s in sequences if s[0]]
     if not sequences:
         return Crf(emit, move, start)
-    sequences.sort(key=lambda s: -len(s[0]))
-    size = np.array([len(rows) for rows, _ in sequences])
-    n, top = len(sequences), int(size[0])
+    docs = len(sequences)
+    pieces = [
+        (rows[at : at + PIECE], labels[at : at + PIECE], labels[at - 1] if at else -1)
+        for rows, labels in sequences
+        for at in range(0, len(rows), PIECE)
+    ]
+    pieces.sort(key=lambda s: -len(s[0]))
+    size = np.array([len(rows) for rows, _, _ in pieces])
+    before = np.array([label for _, _, label in pieces])
+    head, after = before < 0, [before == 0, before == 1]
+    n, top = len(pieces), int(size[0])
     x, gold = np.zeros((n, top, n_features), np.float32), np.zeros((n, top), np.int64)
-    for i, (rows, labels) in enumerate(sequences):
+    for i, (rows, labels, _) in enumerate(pieces):
         gold[i, : len(labels)] = labels
         for t, row in enumerate(rows):
             x[i, t, row] = 1
@@ -156,13 +169,14 @@ def train(sequences: list[tuple[list[list[int]], list[int]]], steps: int = 150,
     hot = np.eye(2)[gold] * live[:, :, None]
     seen_emit = np.einsum("ntl,ntf->lf", hot, x)
     seen_move = np.einsum("nta,ntb->ab", hot[:, :-1], hot[:, 1:])
-    seen_start = hot[:, 0].sum(0)
+    seen_move += [hot[a, 0].sum(0) for a in after]
+    seen_start = hot[head, 0].sum(0)
     params = [emit, move, start]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
         score = x @ emit.T
         alpha, beta = np.zeros((n, top, 2)), np.zeros((n, top, 2))
-        alpha[:, 0] = start + score[:, 0]
+        alpha[:, 0] = np.where(head[:, None], start, move[before]) + score[:, 0]
         for t in range(1, top):
             moved = np.logaddexp(alpha[:, t - 1, :1] + move[0], alpha[:, t - 1, 1:] + move[1]) + score[:, t]
             alpha[:, t] = np.where(live[:, t, None], moved, alpha[:, t - 1])
@@ -172,14 +186,14 @@ def train(sequences: list[tuple[list[list[int]], list[int]]], steps: int = 150,
             moved = np.logaddexp(move[:, 0] + ahead[:, :1], move[:, 1] + ahead[:, 1:])
             beta[:, t] = np.where(live[:, t + 1, None], moved, 0)
         share = np.exp(alpha + beta - total[:, None, None]) * live[:, :, None]
-        pair = np.zeros((2, 2))
+        pair = np.array([share[a, 0].sum(0) for a in after])
         for t in range(1, top):
             joint = alpha[:, t - 1, :, None] + move[None] + (score[:, t] + beta[:, t])[:, None, :]
             pair += (np.exp(joint - total[:, None, None]) * live[:, t, None, None]).sum(0)
         down = [
-            (np.einsum("ntl,ntf->lf", share, x) - seen_emit) / n + decay * emit,
-            (pair - seen_move) / n + decay * move,
-            (share[:, 0].sum(0) - seen_start) / n + decay * start,
+            (np.einsum("ntl,ntf->lf", share, x) - seen_emit) / docs + decay * emit,
+            (pair - seen_move) / docs + decay * move,
+            (share[head, 0].sum(0) - seen_start) / docs + decay * start,
         ]
         for p, g, m, v in zip(params, down, first, second, strict=True):
             m += 0.1 * (g - m)
@@ -230,7 +244,7 @@ def fit(df: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", t
     def features(batch: pa.RecordBatch):
         for key, text in zip(batch.column("key").to_pylist(), texts(batch.column("text")), strict=True):
             found, _, guesses = line_features(text.split("\n"))
-            yield (key, found[:SAMPLE_LINES], guesses[:SAMPLE_LINES]), 400
+            yield (key, found, guesses), 400
 
     # texts alike in key come once
     drawn = map_rows(sample, features, "key long, rows array<array<int>>, labels array<int>").groupBy("key").agg(

@@ -89,6 +89,27 @@ def test_training_fits_its_labels():
     assert linecrf.train([]).viterbi([[0], [1]]) == [1, 1]
 
 
+def test_pieces_of_long_chains(monkeypatch):
+    rng = random.Random(5)
+    sequences = []
+    for _ in range(40):
+        lines = [rng.choice(["The river runs on.", "Home | Login | Terms | Share"]) + f" {k}" for k in range(rng.randint(1, 40))]
+        rows, _, guesses = linecrf.line_features(lines)
+        sequences.append((rows, guesses))
+    whole = linecrf.train(sequences)
+    monkeypatch.setattr(linecrf, "PIECE", 7)
+    parts = linecrf.train(sequences)
+    assert all(whole.viterbi(rows) == parts.viterbi(rows) == gold for rows, gold in sequences)
+    assert not np.array_equal(whole.move, parts.move)
+
+
+def test_ends_of_long_documents_train(spark):
+    tail = ["Home | Login | Terms | Share"] * 44
+    texts = ["\n".join([f"The quiet river {i} runs under bridge {k}." for k in range(256)] + tail) for i in range(4)]
+    model = linecrf.fit(spark.createDataFrame([(i, x, "x", "y") for i, x in enumerate(texts)], SCHEMA))
+    assert model.viterbi(linecrf.line_features(texts[0].split("\n"))[0]) == [1] * 256 + [0] * 44
+
+
 def test_documents(spark):
     rng = random.Random(4)
     fill = [f"{a}{b}" for a in ("ri", "sto", "bre", "lan", "mo") for b in ("ver", "ne", "ad", "ter", "on", "da")]
