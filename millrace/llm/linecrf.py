@@ -236,9 +236,9 @@ def base_rules(text: str) -> tuple[int, int, int, int, int, bool]:
 
 
 def fit(df: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Crf:
-    """Train on the documents with the smallest hashes of id and text, ``sample_docs`` rows at most, alike ones once."""
+    """Train on the documents with the smallest hashes of id and text, ``sample_docs`` at most, alike ones once."""
     rows = source_columns(df, id=id_col, text=text_col).select(F.xxhash64("id", "text").alias("key"), "text")
-    chosen = rows.select("key").orderBy("key").limit(sample_docs).distinct()  # no shuffle: each task keeps its smallest
+    chosen = rows.select("key").distinct().orderBy("key").limit(sample_docs)  # repeated rows take one place
     sample = rows.join(F.broadcast(chosen), "key")  # of bounded size
 
     def features(batch: pa.RecordBatch):

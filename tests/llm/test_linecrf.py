@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import linecrf
 
@@ -110,6 +111,14 @@ def test_ends_of_long_documents_train(spark):
     assert model.viterbi(linecrf.line_features(texts[0].split("\n"))[0]) == [1] * 256 + [0] * 44
 
 
+def test_repeated_rows_take_one_place(spark, monkeypatch):
+    monkeypatch.setattr(linecrf, "train", lambda sequences: sequences)
+    df = spark.createDataFrame([(i, f"text {i}", "x", "y") for i in range(50)], SCHEMA)
+    first = df.orderBy(F.xxhash64("doc_id", "text")).limit(1).collect()
+    repeated = df.union(spark.createDataFrame(first * 100, SCHEMA))
+    assert len(linecrf.fit(repeated, sample_docs=10)) == len(linecrf.fit(df, sample_docs=10)) == 10
+
+
 def test_documents(spark):
     rng = random.Random(4)
     fill = [f"{a}{b}" for a in ("ri", "sto", "bre", "lan", "mo") for b in ("ver", "ne", "ad", "ter", "on", "da")]
