@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.joins import free_name
 
 def top_k_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each group. Spark limits groups before the shuffle (WindowGroupLimit)."""
-    ranked = df.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.filter(F.col("rn") <= k)
+    rank = free_name("_rank", df)
+    ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.filter(F.col(rank) <= k).drop(rank)
 
 
 def latest_per_key(df: DataFrame, keys: list[str], ts: str, columns: list[str]) -> DataFrame:
@@ -27,11 +29,13 @@ def unpivot(df: DataFrame, ids: list[str], columns: list[str], name: str = "name
     return df.unpivot(ids, columns, name, value)
 
 
-def sessionize(df: DataFrame, keys: list[str], ts: str, gap: str) -> DataFrame:
-    """Number the sessions of each key: a session ends where the next row is ``gap`` or more later."""
+def sessionize(df: DataFrame, keys: list[str], ts: str, gap: str, name: str = "session") -> DataFrame:
+    """Number the sessions of each key, in column ``name``: a session ends where the next row is ``gap`` or more later."""
+    if name in df.columns:
+        raise ValueError(f"there is a column {name}")
     order = Window.partitionBy(*keys).orderBy(ts)
     opens = (F.col(ts) >= F.lag(ts).over(order) + F.expr(f"INTERVAL {gap}")).cast("int")
-    return df.withColumn("session", F.sum(F.coalesce(opens, F.lit(0))).over(order))
+    return df.withColumn(name, F.sum(F.coalesce(opens, F.lit(0))).over(order))
 
 
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:

@@ -113,14 +113,8 @@ def explode_words(t: Tables) -> DataFrame:
     return words.groupBy("doc_id", "word").agg(F.count("*").alias("n")).filter("n >= 5")
 
 
-@query("SELECT vec_id, i - 1 AS pos, embedding[i] AS value FROM embeddings, generate_series(1, 64) g(i) WHERE i <= 3")
-def posexplode_vector(t: Tables) -> DataFrame:
-    rows = t.embeddings.select("vec_id", F.posexplode(F.slice("embedding", 1, 3)).alias("pos", "value"))
-    return rows.select("vec_id", F.col("pos").cast("long").alias("pos"), "value")
-
-
 @query("SELECT vec_id, i - 1 AS pos, embedding[i] AS value FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)")
-def posexplode_whole_vector(t: Tables) -> DataFrame:
+def posexplode_vector(t: Tables) -> DataFrame:
     rows = t.embeddings.select("vec_id", F.posexplode("embedding").alias("pos", "value"))
     return rows.select("vec_id", F.col("pos").cast("long").alias("pos"), "value")
 
@@ -156,16 +150,9 @@ def join_right(t: Tables) -> DataFrame:
     return t.orders.filter("o_orderstatus = 'P'").join(t.customer, F.col("c_custkey") == F.col("o_custkey"), "right").select("o_orderkey", "c_custkey")
 
 
-@query("SELECT a.s_suppkey AS a_key, b.c_custkey AS b_key FROM (SELECT * FROM supplier WHERE s_nationkey < 5) a FULL JOIN "
-       "(SELECT * FROM customer WHERE c_nationkey > 3 AND c_custkey < 200) b ON s_nationkey = c_nationkey")
-def join_full(t: Tables) -> DataFrame:
-    a, b = t.supplier.filter("s_nationkey < 5"), t.customer.filter("c_nationkey > 3 AND c_custkey < 200")
-    return a.join(b, F.col("s_nationkey") == F.col("c_nationkey"), "full").select(F.col("s_suppkey").alias("a_key"), F.col("c_custkey").alias("b_key"))
-
-
 @query("SELECT a.s_suppkey AS a_key, b.c_custkey AS b_key FROM (SELECT * FROM supplier WHERE s_nationkey < 5) a FULL JOIN "
        "(SELECT * FROM customer WHERE c_nationkey > 3) b ON s_nationkey = c_nationkey")
-def join_full_all_customers(t: Tables) -> DataFrame:
+def join_full(t: Tables) -> DataFrame:
     a, b = t.supplier.filter("s_nationkey < 5"), t.customer.filter("c_nationkey > 3")
     return a.join(b, F.col("s_nationkey") == F.col("c_nationkey"), "full").select(F.col("s_suppkey").alias("a_key"), F.col("c_custkey").alias("b_key"))
 
@@ -213,7 +200,7 @@ ON a.user_id = b.user_id AND a.ts >= b.ts
 """)
 def join_asof(t: Tables) -> DataFrame:
     right = t.events.filter("event_type <> 'purchase'").select("user_id", "ts", F.col("event_id").alias("prior_id"), F.col("value").alias("prior_value"))
-    return joins.asof_join(t.events.filter("event_type = 'purchase'"), right, "ts", ["user_id"], ["prior_id", "prior_value"]).select(
+    return joins.asof_join(t.events.filter("event_type = 'purchase'"), right, "ts", ["user_id"], ["prior_id", "prior_value"], bin_width=86_400.0).select(
         "event_id", "prior_id", "prior_value"
     )
 

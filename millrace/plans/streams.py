@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +16,12 @@ def _aggs() -> tuple:
 
 
 def _events(t: Tables, delay: str = "1 hour") -> DataFrame:
-    schema = t.events.schema
-    files = windows.file_stream(t.spark, "parquet", t.folder, schema, pathGlobFilter="events.parquet")
+    files = windows.file_stream(t.spark, "parquet", f"{t.folder}/events.parquet", t.events.schema)
     return windows.with_event_time(files, "ts", delay)
 
 
 def _run(t: Tables, df: DataFrame, mode: str) -> DataFrame:
-    return windows.run_to_table(df, f"stream_{uuid.uuid4().hex}", mode, shared_dir(t.spark, "stream"))
+    return windows.run_to_table(df, mode, shared_dir(t.spark, "stream"), shared_dir(t.spark, "sink"))
 
 
 def _start(df: DataFrame, window: str = "window") -> DataFrame:
@@ -88,3 +85,27 @@ def stream_foreach_batch(t: Tables) -> DataFrame:
     write = lambda batch, k: batch.select("event_id", "value").write.mode("overwrite").parquet(f"{out}/batch={k}")
     windows.run_batches(_events(t), write, shared_dir(t.spark, "stream"))
     return t.spark.read.parquet(out).select("event_id", "value")
+
+
+@query("SELECT event_id, event_type, value FROM events WHERE event_type = 'purchase'")
+def stream_file_sink(t: Tables) -> DataFrame:
+    """Append mode through the file sink, whose log names the files of finished batches only."""
+    rows = _events(t).filter("event_type = 'purchase'").select("event_id", "event_type", "value")
+    return _run(t, rows, "append")
+
+
+@query("SELECT * FROM (VALUES (TIMESTAMP '2024-01-01 00:00:00', CAST(1 AS BIGINT)), (TIMESTAMP '2024-01-01 09:00:00', CAST(1 AS BIGINT)), "
+       "(TIMESTAMP '2024-01-01 10:00:00', CAST(2 AS BIGINT))) v(start, n)")
+def stream_late_data(t: Tables) -> DataFrame:
+    """Five batches of invented rows, an hour of patience: 09:30 comes late and counts, 00:10 comes too late and is dropped.
+
+    The last batch moves the watermark past all windows but its own.
+    """
+    folder = shared_dir(t.spark, "late")
+    minutes = [[0], [600], [605], [570, 10], [5000]]
+    for k, batch in enumerate(minutes):
+        rows = t.spark.createDataFrame([(m,) for m in batch], "m int")
+        rows.selectExpr("timestamp '2024-01-01' + make_dt_interval(0, 0, m) AS ts").coalesce(1).write.parquet(f"{folder}/b{k}")
+    stream = windows.file_stream(t.spark, "parquet", f"{folder}/*", "ts timestamp", files_per_trigger=1)
+    out = windows.tumbling(windows.with_event_time(stream, "ts", "1 hour"), "ts", "1 hour", [], F.count("*").alias("n"))
+    return _start(_run(t, out, "append"))

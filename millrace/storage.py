@@ -2,21 +2,54 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+_known: set[str] = set()
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that the cluster shares.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is
-    unset (tests, a laptop) a local one is made and set.
-    """
+def _base(spark: SparkSession) -> str:
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="millrace-")
         sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def _delete(jvm, conf, path: str) -> None:
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(conf).delete(target, True)
+
+
+def release(spark: SparkSession, path: str) -> None:
+    """Delete a path of :func:`shared_dir` that no DataFrame reads any more."""
+    _delete(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
+
+
+def _sweep(jvm, conf, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone; then the folder stays
+        _delete(jvm, conf, folder)
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that the cluster shares.
+
+    The folder is the session's ``spark.checkpoint.dir``. Only where that is
+    unset and the master is local (tests, a laptop) a local one is made and
+    set; on a cluster executors couldn't see it, so that is an error. All paths
+    of an application lie in one folder, which is deleted when the driver ends.
+    """
+    sc = spark.sparkContext
+    folder = f"{_base(spark)}/millrace-{sc.applicationId}"
+    if folder not in _known:
+        _known.add(folder)
+        atexit.register(_sweep, sc._jvm, sc._jsc.hadoopConfiguration(), folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"

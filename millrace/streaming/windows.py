@@ -12,6 +12,12 @@ from pyspark.sql.types import StructType
 
 
 def file_stream(spark: SparkSession, fmt: str, path: str, schema: StructType | str, files_per_trigger: int = 1000, **options) -> DataFrame:
+    """A stream of the files at ``path``: a file, a folder of part files, or a pattern. It is an error if there is none."""
+    found = spark.read.format(fmt).schema(schema).options(**options).load(path).inputFiles()
+    if not found:
+        raise FileNotFoundError(f"no files for a stream at {path}")
+    if [f.rsplit("/", 1)[-1] for f in found] == [path.rsplit("/", 1)[-1]]:
+        path = f"{path[:-1]}[{path[-1]}]"  # a single file: streams take folders and patterns only
     return spark.readStream.format(fmt).schema(schema).options(maxFilesPerTrigger=files_per_trigger, **options).load(path)
 
 
@@ -37,29 +43,69 @@ def distinct_within_watermark(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
 
 
-def running_totals(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Rows, sum and largest value of each key so far, one row for each key that a batch touches."""
+def running_totals(df: DataFrame, key: str, value: str, ts: str | None = None, idle_ms: int = 0) -> DataFrame:
+    """Rows, sum and largest value of each key so far, one row for each key that a batch touches.
+
+    With ``ts``, the column of the watermark, the state of a key is dropped
+    once the watermark is ``idle_ms`` past its latest row: state stays bounded.
+    """
 
     def update(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         n, total, top = state.get if state.exists else (0, 0.0, float("-inf"))
+        latest = 0
         for frame in frames:
+            if ts:
+                latest = max(latest, int(frame[ts].max().timestamp() * 1000))
             n, total, top = n + len(frame), total + float(frame[value].sum()), max(top, float(frame[value].max()))
         state.update((n, total, top))
+        if ts:
+            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + max(1, idle_ms))
         yield pd.DataFrame({key: [group[0]], "n": [n], "total": [total], "top": [top]})
 
     kind = df.schema[key].dataType.simpleString()
+    timeout = GroupStateTimeout.EventTimeTimeout if ts else GroupStateTimeout.NoTimeout
     return df.groupBy(key).applyInPandasWithState(
-        update, f"{key} {kind}, n long, total double, top double", "n long, total double, top double", "update", GroupStateTimeout.NoTimeout
+        update, f"{key} {kind}, n long, total double, top double", "n long, total double, top double", "update", timeout
     )
 
 
-def run_to_table(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over all that is there now, into a table in memory; returns the table (tests, small results)."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode)
-    query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.table(name)
+def _run(writer, checkpoint: str) -> None:
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def run_to_table(df: DataFrame, mode: str, checkpoint: str, path: str) -> DataFrame:
+    """Run a stream over all that is there now, into Parquet files at ``path``; returns what it gave.
+
+    Append mode goes through the file sink. In complete and update mode each
+    batch is a folder of its own, so that a batch that is seen again replaces
+    itself; complete mode returns the last one, update mode all updates.
+    Nothing is kept in the driver.
+    """
+    spark = df.sparkSession
+    if mode == "append":
+        _run(df.writeStream.format("parquet").option("path", path).outputMode(mode), checkpoint)
+        return spark.read.schema(df.schema).parquet(path)
+    numbers: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        numbers.append(number)
+
+    _run(df.writeStream.foreachBatch(write).outputMode(mode), checkpoint)
+    if not numbers:
+        return spark.createDataFrame([], df.schema)
+    folder = f"{path}/batch={max(numbers)}" if mode == "complete" else f"{path}/batch=*"
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def run_to_console(df: DataFrame, mode: str, checkpoint: str, rows: int = 20) -> None:
+    """Show what a stream over all that is there now gives, batch by batch (to look at, in development)."""
+    _run(df.writeStream.format("console").option("numRows", rows).outputMode(mode), checkpoint)
 
 
 def run_batches(df: DataFrame, function, checkpoint: str) -> None:
     """Run a stream over all that is there now, batch by batch; ``function(batch, number)`` may see a batch again after a failure."""
-    df.writeStream.foreachBatch(function).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    _run(df.writeStream.foreachBatch(function), checkpoint)

@@ -10,21 +10,23 @@ from millrace.functions import statistics, text, vectors
 from millrace.operators import joins, relational
 from millrace.session import Tables, get_session
 from millrace.sources import files
-from millrace.storage import shared_dir
+from millrace.storage import release, shared_dir
 
 KEY = lambda r: tuple("" if x is None else str(x) for x in r)
 
 
+@pytest.mark.parametrize("width", [None, 4.0, 100.0])
 @pytest.mark.parametrize("exact", [True, False])
-def test_asof(spark, exact):
+def test_asof(spark, exact, width):
     rng = random.Random(1)
-    left = [(i, rng.choice("abc"), rng.randint(0, 30)) for i in range(120)]
-    right = [(rng.choice("abx"), rng.randint(0, 30), i) for i in range(40)]
+    none = lambda x: None if rng.random() < 0.1 else x
+    left = [(i, none(rng.choice("abc")), none(rng.randint(-9, 30))) for i in range(160)]
+    right = [(none(rng.choice("abx")), none(rng.randint(-9, 30)), i) for i in range(50)]
     a, b = spark.createDataFrame(left, "id int, k string, ts int"), spark.createDataFrame(right, "k string, ts int, v int")
-    got = joins.asof_join(a, b, "ts", ["k"], ["v"], allow_exact=exact).select("id", "v").collect()
+    got = joins.asof_join(a, b, "ts", ["k"], ["v"], allow_exact=exact, bin_width=width).select("id", "v").collect()
     want = []
     for i, k, ts in left:
-        before = [(t, v) for q, t, v in right if q == k and (t <= ts if exact else t < ts)]
+        before = [(t, v) for q, t, v in right if None not in (q, t, k, ts) and q == k and (t <= ts if exact else t < ts)]
         want.append((i, max(before)[1] if before else None))
     assert sorted(map(tuple, got), key=KEY) == sorted(want, key=KEY)
     assert joins.asof_join(a, b.limit(0), "ts", ["k"], ["v"]).filter("v is not null").count() == 0
@@ -46,6 +48,31 @@ def test_range(spark, how, width):
     assert sorted(map(tuple, got), key=KEY) == sorted(want, key=KEY)
 
 
+def test_asof_names_that_clash(spark):
+    a = spark.createDataFrame([(1, 5, 0)], "_left int, ts int, _bin int")
+    b = spark.createDataFrame([(1, 3, 9)], "_left int, ts int, _right int")
+    for width in (None, 2.0):
+        assert [tuple(r) for r in joins.asof_join(a, b, "ts", ["_left"], ["_right"], bin_width=width).collect()] == [(1, 5, 0, 9)]
+
+
+@pytest.mark.parametrize("width", [60.0, 3600.0, 1e6])
+def test_interval(spark, width):
+    rng = random.Random(4)
+    day = datetime(2024, 1, 1)
+    make = lambda n: [(i, rng.choice(["a", "b", None]), day + timedelta(minutes=rng.randint(0, 400)) if rng.random() < 0.9 else None) for i in range(n)]
+    left, right = make(50), make(60)
+    a, b = (spark.createDataFrame(x, "i int, k string, ts timestamp") for x in (left, right))
+    got = joins.interval_join(a, b, ["k"], "ts", "ts", "20 minutes", "1 hour", width).select(F.col("a.i"), F.col("b.i")).collect()
+    want = [(i, j) for i, k, s in left for j, q, u in right if None not in (k, q, s, u) and k == q and s - timedelta(minutes=20) <= u <= s + timedelta(hours=1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_alike_rows_are_salted_apart(spark):
+    a = spark.createDataFrame([("hot", 1)] * 400, "k string, n int").repartition(8)
+    b = spark.createDataFrame([("hot", 1)], "k string, v int")
+    assert joins.salted_join(a, b, ["k"], 4).count() == 400
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_salted(spark, how):
     a = spark.createDataFrame([(1, "hot", i) for i in range(50)] + [(2, "x", 0), (3, None, 0)], "i int, k string, n int")
@@ -105,3 +132,29 @@ def test_plans_push_down(spark):
 def test_shared_dir_follows_the_session(spark):
     assert shared_dir(spark, "x") != shared_dir(spark, "x")
     assert get_session().conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_shared_dir_needs_a_shared_folder(spark, monkeypatch):
+    class Cluster:
+        master = "local-cluster[2,1,1024]"
+        applicationId = "x"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Cluster()
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session(), "x")
+
+
+def test_release(spark, tmp_path):
+    path = shared_dir(spark, "gone")
+    spark.range(3).write.parquet(path)
+    release(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
