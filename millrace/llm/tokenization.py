@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 
@@ -42,17 +43,24 @@ def _latin(text: str) -> bool:
 class ChunkEncoder:
     """Encodes texts to little-endian ids of ``dtype`` (two bytes where the vocabulary allows).
 
+    Ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``: the
+    string of a special token in a text gives that token's id, as the library
+    has it, unless ``special_as_text`` makes it ordinary text.
+
     ``keeps_space``: the model sees white space (byte-level BPE). Otherwise it
     drops white space and only the words count.
     """
 
-    def __init__(self, path: str, memo_entries: int = MEMO_ENTRIES):
+    def __init__(self, path: str, memo_entries: int = MEMO_ENTRIES, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
+        # a text that may hold an added token's string is encoded whole, by the library
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added_head = commonprefix(self.added)
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if size <= 65_536 else np.dtype("<u4")
         mark = self._ids("a ~ a")
@@ -118,6 +126,10 @@ class ChunkEncoder:
 
     def _chunks(self, text: str) -> list[str] | None:
         """None: the text can't be cut safely."""
+        if self.added and (self.added_head in text or self.added_head.upper() != self.added_head):
+            lowered = text.lower()
+            if any(t in lowered for t in self.added):
+                return None
         if not self.keeps_space and self.folds and _latin(text):
             text = text.lower()  # as the model's normalizer does, for these characters one by one
         words = text.split()

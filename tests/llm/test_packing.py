@@ -117,7 +117,8 @@ def test_chunks_give_the_ids_of_whole_texts(name):
     model = ChunkEncoder(public_tokenizers.path(name), memo_entries=300)
     plain = Tokenizer.from_file(public_tokenizers.path(name))
     rng = random.Random(5)
-    parts = ["a", "Word", " ", "  ", "\n", "\n\n", "\t", "　", "\x85", "\x1c", ",", "é", "'s", "12", "́", "\r\n", "İ", "Σ", "~", "\0", "🙂"]
+    parts = ["a", "Word", " ", "  ", "\n", "\n\n", "\t", "　", "\x85", "\x1c", ",", "é", "'s", "12", "́", "\r\n", "İ", "Σ", "~", "\0", "🙂", "<|", "|>"]
+    parts += ["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|endof", "text|>"]
     rows = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
     for at in range(0, len(rows), 500):
         part = rows[at : at + 500]
