@@ -16,8 +16,9 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 #: Rows are handed back to Spark once about this many bytes are waiting.
 FLUSH_BYTES = 8 << 20
-#: Rows that are Python objects at a time.
+#: Rows, and bytes of Arrow data, that are Python objects at a time (one row may have more).
 SLICE_ROWS = 512
+SLICE_BYTES = 8 << 20
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -52,7 +53,7 @@ def frees_between_queries(clear: Callable[[], None]) -> None:
 
 
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of few rows, so that only their Python objects exist at a time.
+    """The batches in slices of few rows and bytes, so that only their Python objects exist at a time.
 
     Workers outlive tasks. Caches serve all tasks of a query, stages that run
     side by side included, and are emptied here as another query's first task begins.
@@ -65,8 +66,35 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             for clear in _CACHES:
                 clear()
     for batch in batches:
-        for low in range(0, batch.num_rows, rows):
-            yield batch.slice(low, rows)
+        step = max(1, min(rows, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+        for low in range(0, batch.num_rows, step):
+            yield from _halved(batch.slice(low, step))
+
+
+def _halved(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A slice whose long texts stand together is cut further, down to single rows."""
+    if batch.num_rows > 1 and batch.nbytes > 2 * SLICE_BYTES:
+        half = batch.num_rows // 2
+        yield from _halved(batch.slice(0, half))
+        yield from _halved(batch.slice(half))
+    else:
+        yield batch
+
+
+def drawn_within(rows: DataFrame, order: list[str], size: str, max_bytes: int) -> list:
+    """The rows in ``order``, collected, as far as their ``size`` adds up to ``max_bytes``, one at least.
+
+    ``rows`` has a bounded number of rows; they are written once, and their
+    sizes are looked at before any data go to the driver.
+    """
+    rows = materialize(rows, "sample")
+    total = kept = 0
+    for r in rows.select(*order, size).orderBy(*order).collect():
+        total += r[size]
+        if kept and total > max_bytes:
+            break
+        kept += 1
+    return rows.orderBy(*order).limit(kept).collect()
 
 
 class RowBuffer:

@@ -1,8 +1,9 @@
 """Quality classifier: a factorisation machine on hashed words and structure.
 
 A document is a sparse vector x: hashed words (square roots of counts, scaled
-to unit length), and indicators of its structure and its length, each a
-statistic dealt into steps. The score is
+to unit length), indicators of its structure and its length, each a statistic
+dealt into steps, and indicators of its metadata: columns of the table beside
+the text, numbers dealt into steps and other values hashed. The score is
 
     sigmoid(w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j)
 
@@ -20,16 +21,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from millrace.llm._common import frees_between_queries, map_rows, sliced, source_columns, texts
+from millrace.llm._common import drawn_within, frees_between_queries, map_rows, sliced, texts
 
 SLOTS = 1 << 16
 FACTORS = 8
 #: Labelled rows that the model is fitted on at most, drawn by a hash of the id.
 SAMPLE_ROWS = 6000
+#: Bytes of their features at most; beyond, the model is fitted on fewer rows.
+SAMPLE_BYTES = 128 << 20
 THRESHOLD = 0.7
+#: Metadata that scores may use: the recorded length. Ids, languages, sources and labels are never among them.
+META_COLS = ("n_chars",)
 MEMO_WORDS = 300_000
 #: Steps that each statistic of the structure is dealt into.
 STEPS = 16
@@ -51,13 +57,17 @@ STOP_WORDS = frozenset(
 )
 
 
+def _word_slot(word: str) -> int:
+    return len(STATISTICS) * STEPS + zlib.crc32(word.encode("utf-8", "surrogatepass")) % (SLOTS - len(STATISTICS) * STEPS)
+
+
 class _Slots(dict):
     """Slot of a lower-cased word."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= MEMO_WORDS:
             self.clear()
-        slot = len(STATISTICS) * STEPS + zlib.crc32(word.encode("utf-8", "surrogatepass")) % (SLOTS - len(STATISTICS) * STEPS)
+        slot = _word_slot(word)
         if len(word) <= 64:
             self[word] = slot
         return slot
@@ -73,7 +83,7 @@ def _step(share: float) -> int:
 
 
 def _log_step(value: float, top: float) -> int:
-    return min(STEPS - 1, int(STEPS * np.log1p(value) / np.log1p(top)))
+    return min(STEPS - 1, int(STEPS * min(1.0, np.log1p(value) / np.log1p(top))))
 
 
 def statistics(text: str) -> tuple[list[int], Counter]:
@@ -110,8 +120,18 @@ def statistics(text: str) -> tuple[list[int], Counter]:
     return steps, counts
 
 
-def featurize(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and values of a text. Empty texts have their structure only."""
+def metadata_slots(values: dict[str, object]) -> list[int]:
+    """A slot for each metadata column: the step of a number, a hash of any other value, one of its own for null."""
+    out = []
+    for name, value in values.items():
+        if isinstance(value, (int, float)) and not isinstance(value, bool):
+            value = f"step {_log_step(max(0.0, float(value)), 1e6)}" if value == value else None
+        out.append(_word_slot(f"\0{name}\0{'null' if value is None else value}"))
+    return out
+
+
+def featurize(text: str, metadata: dict[str, object] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and values of a text and its metadata. Empty texts have their structure only."""
     steps, counts = statistics(text)
     folded: Counter = Counter()
     for word, c in counts.items():
@@ -121,7 +141,8 @@ def featurize(text: str) -> tuple[np.ndarray, np.ndarray]:
     if len(values):
         values = values / np.sqrt((values**2).sum())
     own = np.arange(len(steps)) * STEPS + np.array(steps)
-    return np.append(own, slots), np.append(np.full(len(steps), 0.3, np.float32), values).astype(np.float32)
+    own = np.append(own, np.array(metadata_slots(metadata or {}), np.int64))
+    return np.append(own, slots), np.append(np.full(len(own), 0.3, np.float32), values).astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -199,6 +220,36 @@ def is_held_out(doc_id) -> "F.Column":
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def labelled_sample(labels: DataFrame, rows: int, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """``draw, l_id, label`` of at most ``rows`` labelled rows that aren't held out, the first by a hash of the id.
+
+    Rows whose id is null or whose label is null or neither 0 nor 1 are left out.
+    """
+    known = labels.select(F.col(f"`{id_col}`").alias("l_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
+    known = known.filter(F.col("label").isin(0, 1) & F.col("l_id").isNotNull() & ~is_held_out("l_id"))
+    return known.select(F.xxhash64("l_id").alias("draw"), "l_id", "label").distinct().orderBy("draw", "l_id", "label").limit(rows)
+
+
+def _expressions(docs: DataFrame, meta_cols: tuple[str, ...], **wanted: str) -> list[Column]:
+    """Columns under internal names; metadata columns as ``meta_0`` and so on, null where the table has none."""
+    out = [F.col(f"`{column}`").alias(name) for name, column in wanted.items()]
+    for k, column in enumerate(meta_cols):
+        if column in docs.columns:
+            kind = docs.schema[column].dataType
+            value = F.col(f"`{column}`")
+            out.append((value.cast("double") if isinstance(kind, NumericType) else value.cast("string")).alias(f"meta_{k}"))
+        else:
+            out.append(F.lit(None).cast("string").alias(f"meta_{k}"))
+    return out
+
+
+def _vectors(batch: pa.RecordBatch, meta_cols: tuple[str, ...], text_col: str = "text"):
+    """Slots and values of the rows of a batch, one after the other."""
+    columns = [batch.column(f"meta_{k}").to_pylist() for k in range(len(meta_cols))]
+    for i, text in enumerate(texts(batch.column(text_col))):
+        yield featurize(text, {name: column[i] for name, column in zip(meta_cols, columns, strict=True)})
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -206,68 +257,80 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
+    meta_cols: tuple[str, ...] = META_COLS,
+    max_bytes: int = SAMPLE_BYTES,
 ) -> Model:
     """Fit on at most ``sample_rows`` labelled rows that are not held out, the first by a hash of the id.
 
-    Rows whose label is null or neither 0 nor 1 are left out.
+    Rows whose label is null or neither 0 nor 1 are left out. If their features
+    exceed ``max_bytes``, fewer rows count.
     """
-    known = labels.select(F.col(f"`{id_col}`").alias("l_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
-    known = known.filter(F.col("label").isin(0, 1) & F.col("l_id").isNotNull() & ~is_held_out("l_id"))
-    chosen = known.orderBy(F.xxhash64("l_id"), "l_id", "label").limit(sample_rows)
-    rows = source_columns(docs, id=id_col, text=text_col)
-    # the sample has a bounded number of rows of two numbers
-    sample = rows.join(F.broadcast(chosen), rows["id"] == chosen["l_id"]).select("id", "label", "text")
+    chosen = labelled_sample(labels, sample_rows, id_col, label_col)
+    rows = docs.select(*_expressions(docs, meta_cols, id=id_col, text=text_col))
+    # the sample has a bounded number of rows of three numbers
+    sample = rows.join(F.broadcast(chosen), rows["id"] == chosen["l_id"]).drop("l_id")
 
     def features(batch: pa.RecordBatch):
-        for doc, label, text in zip(batch.column("id").to_pylist(), batch.column("label").to_pylist(), texts(batch.column("text")), strict=True):
-            slots, values = featurize(text)
-            yield (doc, label, slots.astype("<u4").tobytes(), values.astype("<f4").tobytes()), 8 * len(slots)
+        columns = (batch.column(c).to_pylist() for c in ("draw", "id", "label"))
+        for draw, doc, label, (slots, values) in zip(*columns, _vectors(batch, meta_cols), strict=True):
+            yield (draw, doc, label, 8 * len(slots), slots.astype("<u4").tobytes(), values.astype("<f4").tobytes()), 8 * len(slots)
 
     # an id with many rows gives no more than one of them: the sample stays bounded
-    drawn = map_rows(sample, features, "id long, label int, slots binary, vals binary").groupBy("id", "label").agg(
-        F.min(F.struct("slots", "vals")).alias("x")
-    )
-    found = sorted(drawn.select("id", "label", "x.slots", "x.vals").collect(), key=lambda r: (r.id, r.label))
+    ddl = "draw long, id long, label int, size long, slots binary, vals binary"
+    drawn = map_rows(sample, features, ddl).groupBy("draw", "id", "label").agg(F.min(F.struct("slots", "vals", "size")).alias("x"))
+    drawn = drawn.select("draw", "id", "label", "x.size", "x.slots", "x.vals")
+    found = drawn_within(drawn, ["draw", "id", "label"], "size", max_bytes)
     data = [(np.frombuffer(r.slots, "<u4").astype(np.int64), np.frombuffer(r.vals, "<f4")) for r in found]
     return train(data, np.array([r.label for r in found], np.float32))
 
 
 def score_documents(
-    docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    model: Model,
+    threshold: float = THRESHOLD,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    meta_cols: tuple[str, ...] = META_COLS,
 ) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row; ``score`` is from 0 to 1.
 
     * Null and empty texts are scored by their structure. Very long texts count whole.
-    * Null ids are kept and not held out. Repeated rows get equal scores.
-    * An empty table gives no rows. Further columns are not read.
+    * Null ids are kept and not held out. Null or missing metadata have a value of their own.
+    * Repeated rows get equal scores. An empty table gives no rows.
+    * Columns other than the id, the text and ``meta_cols`` are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size, whatever the corpus
 
     def run(batch: pa.RecordBatch):
-        column, flags = batch.column("id").to_pylist(), batch.column("held_out").to_pylist()
-        raw = texts(batch.column("text"))
-        for low in range(0, len(raw), 64):
-            part = slice(low, low + 64)
-            scores = shared.value.scores([featurize(t) for t in raw[part]])
-            for doc, flag, score in zip(column[part], flags[part], scores.tolist(), strict=True):
+        for low in range(0, batch.num_rows, 64):
+            part = batch.slice(low, 64)
+            scores = shared.value.scores(list(_vectors(part, meta_cols)))
+            for doc, flag, score in zip(part.column("id").to_pylist(), part.column("held_out").to_pylist(), scores.tolist(), strict=True):
                 yield (doc, flag, score, int(score >= threshold)), 32
 
-    rows = source_columns(docs, id=id_col, text=text_col).withColumn("held_out", is_held_out("id"))
+    rows = docs.select(*_expressions(docs, meta_cols, id=id_col, text=text_col)).withColumn("held_out", is_held_out("id"))
     return map_rows(rows, run, f"{id_col} long, held_out boolean, score double, predicted int")
 
 
-def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose score reaches the threshold."""
+def accepted(
+    docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text", meta_cols: tuple[str, ...] = META_COLS
+) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose score reaches the threshold.
+
+    Nulls, empty and very long texts are treated as in :func:`score_documents`;
+    repeated rows stay or go together; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    columns = docs.columns
+    row = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")
+    wide = docs.select(row, *_expressions(docs, meta_cols, text=text_col))
 
     def run(batches):
-        at = None
         for batch in sliced(batches):
-            at = batch.schema.get_field_index(text_col) if at is None else at
-            raw = texts(batch.column(at))
             keep: list[bool] = []
-            for low in range(0, len(raw), 64):
-                keep += (shared.value.scores([featurize(t) for t in raw[low : low + 64]]) >= threshold).tolist()
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for low in range(0, batch.num_rows, 64):
+                keep += (shared.value.scores(list(_vectors(batch.slice(low, 64), meta_cols))) >= threshold).tolist()
+            yield batch.select(["row"]).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    kept = wide.mapInArrow(run, wide.select("row").schema)
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in columns))

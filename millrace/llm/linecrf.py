@@ -3,9 +3,15 @@
 Each line that has a word is labelled content or boilerplate by Viterbi decoding
 of a CRF over indicators of its form. A document is kept if enough of its words
 stand in content lines. The CRF is trained on the driver by maximum likelihood
-(forward-backward, Adam) on the lines of a bounded sample of documents, whose
-labels are guessed by plain rules; the chain learns from them how lines of
-either kind follow each other, and which forms go with which.
+(forward-backward, Adam) on a bounded sample of labelled documents, without the
+held-out ones. Its line labels don't follow from the features, which see one
+line of one text: a line is content if its document is marked good and the line
+doesn't recur. A line recurs if it stands behind many different lines, counted
+in Spark over all documents: what is put into many texts does, what is copied
+with its surroundings doesn't.
+
+As the labels of neighbours go together, so do those that the chain gives: a
+line whose form is doubtful is judged by the lines around it.
 """
 
 from __future__ import annotations
@@ -19,10 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import map_rows, source_columns, texts
+from millrace.llm._common import drawn_within, map_rows, source_columns, texts
+from millrace.llm.fm import labelled_sample
 
-#: Documents that the CRF is fitted on at most, with all their lines.
-SAMPLE_DOCS = 400
+#: Labelled documents that the CRF is fitted on at most, with all their lines, and bytes of their features at most.
+SAMPLE_DOCS = 1_000
+SAMPLE_BYTES = 32 << 20
+#: A line recurs if it stands behind so many different lines.
+RECURS = 20
 #: Longer chains are cut into pieces of so many lines for the fit; no line or transition is lost.
 PIECE = 256
 #: Share of the words that must stand in content lines.
@@ -69,9 +79,9 @@ def count_classes(line: str) -> tuple[int, int, int]:
     return c[1] + c[3] + c[5] + c[7], c[2] + c[3] + c[6] + c[7], c[4] + c[5] + c[6] + c[7]
 
 
-def line_features(lines: list[str]) -> tuple[list[list[int]], list[int], list[int]]:
-    """For each line that has a word: its features, its words, and its guessed label (1: content)."""
-    out, sizes, guesses, seen = [], [], [], set()
+def line_features(lines: list[str]) -> tuple[list[list[int]], list[int]]:
+    """For each line that has a word: its features, and its number of words."""
+    out, sizes, seen = [], [], set()
     kept = [x for x in lines if x.strip(_SPACE)]
     for k, line in enumerate(kept):
         words = line.split()
@@ -103,9 +113,7 @@ def line_features(lines: list[str]) -> tuple[list[list[int]], list[int], list[in
         row += [_AT[name] for flag, name in flags if flag]
         out.append(row)
         sizes.append(len(words))
-        bad = 2 * marks >= n or again or symbols >= 0.05 or pipes >= 3 or exclaims >= 0.3 or (upper >= 0.6 and n > 2)
-        guesses.append(0 if bad or (distinct < 0.3 and n >= 8) else 1)
-    return out, sizes, guesses
+    return out, sizes
 
 
 @dataclass(frozen=True)
@@ -139,10 +147,12 @@ class Crf:
         return labels[::-1]
 
 
-def train(sequences: list[tuple[list[list[int]], list[int]]], steps: int = 150, rate: float = 0.1, decay: float = 1e-3) -> Crf:
+def train(
+    sequences: list[tuple[list[list[int]], list[int]]], steps: int = 150, rate: float = 0.1, decay: float = 1e-3, chain: bool = True
+) -> Crf:
     """Maximum likelihood with an L2 penalty. Without sequences all weights are 0: every line is content.
 
-    A piece of a long chain is entered from the label of the line before it.
+    ``chain=False`` fits the same features without transitions (for comparison). A piece of a long chain is entered from the label of the line before it.
     """
     n_features = len(FEATURES)
     emit, move, start = np.zeros((2, n_features)), np.zeros((2, 2)), np.zeros(2)
@@ -195,7 +205,9 @@ def train(sequences: list[tuple[list[list[int]], list[int]]], steps: int = 150,
             (pair - seen_move) / docs + decay * move,
             (share[head, 0].sum(0) - seen_start) / docs + decay * start,
         ]
-        for p, g, m, v in zip(params, down, first, second, strict=True):
+        for k, (p, g, m, v) in enumerate(zip(params, down, first, second, strict=True)):
+            if k and not chain:
+                continue
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -235,23 +247,69 @@ def base_rules(text: str) -> tuple[int, int, int, int, int, bool]:
 # ---------------------------------------------------------------- Spark
 
 
-def fit(df: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Crf:
-    """Train on the documents with the smallest hashes of id and text, ``sample_docs`` at most, alike ones once."""
-    rows = source_columns(df, id=id_col, text=text_col).select(F.xxhash64("id", "text").alias("key"), "text")
-    chosen = rows.select("key").distinct().orderBy("key").limit(sample_docs)  # repeated rows take one place
-    sample = rows.join(F.broadcast(chosen), "key")  # of bounded size
+def recurring_lines(docs: DataFrame, lines: DataFrame, text_col: str = "text", recurs: int = RECURS) -> DataFrame:
+    """Those of ``lines`` (column ``line``, hashes) that stand behind ``recurs`` or more different lines of ``docs``.
 
-    def features(batch: pa.RecordBatch):
-        for key, text in zip(batch.column("key").to_pylist(), texts(batch.column("text")), strict=True):
-            found, _, guesses = line_features(text.split("\n"))
-            yield (key, found, guesses), 400
+    The start of a text counts as a line. Pairs of a line and the one before it
+    are made distinct before and after the shuffle, so a line of very many
+    documents is no burden. Null texts have no lines.
+    """
+    hashes = F.transform(F.split(f"`{text_col}`", "\n"), lambda x: F.xxhash64(x))
+    pairs = F.arrays_zip(hashes.alias("line"), F.concat(F.array(F.lit(0).cast("long")), hashes).alias("before"))
+    rows = docs.select(F.explode(pairs).alias("p")).select("p.line", "p.before").filter("line is not null")
+    rows = rows.join(lines.select("line").distinct(), "line", "left_semi").distinct()
+    return rows.groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= recurs).select("line")
+
+
+def labelled_lines(
+    docs: DataFrame,
+    labels: DataFrame,
+    sample_docs: int = SAMPLE_DOCS,
+    recurs: int = RECURS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    max_bytes: int = SAMPLE_BYTES,
+) -> list[tuple[list[list[int]], list[int]]]:
+    """Features and labels of the lines of a bounded sample of the labelled documents that aren't held out.
+
+    The sample has the first ``sample_docs`` by a hash of the id. Labels that are
+    null or neither 0 nor 1 are left out, as are texts that are null or have no
+    word. Of an id with several rows or texts one counts. All lines of a sampled
+    document count, however long; if features exceed ``max_bytes`` the sample
+    has fewer documents.
+    """
+    chosen = labelled_sample(labels, sample_docs, id_col, label_col)
+    rows = source_columns(docs, id=id_col, text=text_col)
+    sample = rows.join(F.broadcast(chosen), rows["id"] == chosen["l_id"])  # of bounded size
+    hashes = F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x))
+    sample = sample.select("draw", "id", "label", "text", hashes.alias("hashes")).filter("text is not null")
 
-    # texts alike in key come once
-    drawn = map_rows(sample, features, "key long, rows array<array<int>>, labels array<int>").groupBy("key").agg(
-        F.first("rows").alias("rows"), F.first("labels").alias("labels")
+    def features(batch: pa.RecordBatch):
+        columns = (batch.column(c).to_pylist() for c in ("draw", "id", "label", "hashes"))
+        for draw, doc, label, hashes, text in zip(*columns, texts(batch.column("text")), strict=True):
+            lines = text.split("\n")
+            found, _ = line_features(lines)
+            kept = [h for h, line in zip(hashes, lines, strict=True) if line.strip(_SPACE)]
+            if found:
+                size = sum(map(len, found))
+                yield (draw, doc, label, text[:64], 8 * size, found, kept), 16 * size
+
+    ddl = "draw long, id long, label int, head string, size long, rows array<array<int>>, hashes array<long>"
+    one = map_rows(sample, features, ddl).groupBy("draw", "id", "label").agg(
+        F.min_by(F.struct("size", "rows", "hashes"), F.struct("head", "size", "hashes")).alias("x")
     )
-    found = sorted(drawn.collect(), key=lambda r: r.key)
-    return train([([list(x) for x in r.rows], list(r.labels)) for r in found])
+    one = one.select("draw", "id", "label", "x.size", "x.rows", "x.hashes")
+    found = drawn_within(one, ["draw", "id", "label"], "size", max_bytes)
+    spark = docs.sparkSession
+    lines = spark.createDataFrame([(h,) for h in {h for r in found for h in r.hashes}], "line long")
+    again = {r.line for r in recurring_lines(docs, lines, text_col, recurs).collect()}  # of the sample's lines
+    return [([list(x) for x in r.rows], [int(r.label and h not in again) for h in r.hashes]) for r in found]
+
+
+def fit(docs: DataFrame, labels: DataFrame, **options) -> Crf:
+    """Train on :func:`labelled_lines`. Without labelled documents every line is content."""
+    return train(labelled_lines(docs, labels, **options))
 
 
 def judge_documents(
@@ -268,7 +326,7 @@ def judge_documents(
     def run(batch: pa.RecordBatch):
         for doc, text in zip(batch.column("id").to_pylist(), texts(batch.column("text")), strict=True):
             base = base_rules(text)
-            rows, sizes, _ = line_features(text.split("\n"))
+            rows, sizes = line_features(text.split("\n"))
             labels = shared.value.viterbi(rows)
             share = sum(s for s, y in zip(sizes, labels, strict=True) if y) / max(1, sum(sizes))
             yield (doc, *base, share, not base[-1] and share >= content_share), 100
@@ -281,7 +339,12 @@ def judge_documents(
 
 
 def label_lines(df: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per line that has a word: ``doc_id, line, content``, the line's text as it is."""
+    """One row per line that has a word: ``doc_id, line, content``, the line's text as it is.
+
+    Null, empty and blank texts have no such line. Very long lines and texts
+    count whole, null ids are kept, repeated rows give their lines each, an
+    empty table gives none. Further columns are not read.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch):

@@ -72,7 +72,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return linecrf.judge_documents(docs, linecrf.fit(docs))
+    return linecrf.judge_documents(docs, linecrf.fit(docs, _table(spark, sf_dir, "labels")))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,3 +88,23 @@ def test_no_labels_and_empty(spark):
     assert {r.score for r in fm.score_documents(docs, model).collect()} == {0.5}
     empty = spark.createDataFrame([], SCHEMA)
     assert fm.score_documents(empty, model).collect() == [] and fm.accepted(empty, model).collect() == []
+
+
+def test_metadata_counts(spark):
+    """Texts alike, told apart by their metadata only."""
+    rows = [(i, "the same text", 10 if i % 2 else 90_000, "a" if i % 3 else None) for i in range(200)]
+    docs = spark.createDataFrame([*rows, (None, None, None, None)], "doc_id long, text string, n_chars long, kind string")
+    known = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    out = fm.score_documents(docs, fm.fit(docs, known)).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in out if r.doc_id is not None)
+    for cols in (("kind", "none"), ()):
+        blind = fm.score_documents(docs, fm.fit(docs, known, meta_cols=cols), meta_cols=cols).collect()
+        assert all(0.1 < r.score < 0.9 for r in blind if r.doc_id is not None)
+    assert fm.metadata_slots({"n": 5}) == fm.metadata_slots({"n": 5.0}) != fm.metadata_slots({"n": None})
+
+
+def test_the_sample_is_bounded_in_bytes(spark):
+    rows, labels = corpus(60)
+    docs, known = frames(spark, rows, labels)
+    a, b = fm.fit(docs, known), fm.fit(docs, known, max_bytes=2000)
+    assert a.bias != b.bias or not (a.linear == b.linear).all()

@@ -1,11 +1,11 @@
 import itertools
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from millrace.llm import linecrf
 
@@ -53,9 +53,9 @@ def test_shares_count_whole_lines():
 
 @pytest.mark.parametrize("n", [40, 41, 400, 20_000])
 def test_markers_count_in_lines_of_any_length(n):
-    rows, sizes, guesses = linecrf.line_features([" ".join(itertools.islice(itertools.cycle(sorted(linecrf.MARKERS)), n)), "x " * n + "Privacy."])
+    rows, sizes = linecrf.line_features([" ".join(itertools.islice(itertools.cycle(sorted(linecrf.MARKERS)), n)), "x " * n + "Privacy."])
     found = [{linecrf.FEATURES[k] for k in row} for row in rows]
-    assert sizes == [n, n + 1] and guesses[0] == 0
+    assert sizes == [n, n + 1]
     assert {"marker word", "half markers"} <= found[0]
     assert "marker word" in found[1] and "half markers" not in found[1]
 
@@ -76,47 +76,106 @@ def test_viterbi_is_the_best_path(seed):
     assert model.viterbi(rows) == list(best) and model.viterbi([]) == []
 
 
+PROSE, MENU = "The quiet river runs under the old stone bridge.", "Home | Login | Terms | Share"
+
+
+def doubtful(k):
+    return f"Chapter{k} of{k} | part{k} % {k}"
+
+
+def labelled(kinds):
+    """Lines by their kinds, and their labels: prose and menus by form, doubtful lines by the last certain one."""
+    lines, labels, last = [], [], 1
+    for k, kind in enumerate(kinds):
+        lines.append({"p": f"{PROSE} {k}", "m": f"{MENU} {k}", "d": doubtful(k)}[kind])
+        last = {"p": 1, "m": 0, "d": last}[kind]
+        labels.append(last)
+    return lines, labels
+
+
+def chains(seed, n=120):
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        sure = rng.choice("pm")
+        kinds = "".join(sure + "d" * rng.randint(0, 3) for _ in range(rng.randint(1, 4)))
+        lines, labels = labelled(kinds)
+        out.append((linecrf.line_features(lines)[0], labels))
+    return out
+
+
 def test_training_fits_its_labels():
-    rng = random.Random(1)
-    good = "The quiet river runs under the old stone bridge towards the sea"
-    sequences = []
-    for _ in range(80):
-        lines = [f"{good} {rng.randint(0, 9)}." if rng.random() < 0.7 else "Home | Login | Terms | Share" for _ in range(rng.randint(1, 9))]
-        rows, _, guesses = linecrf.line_features(lines)
-        sequences.append((rows, guesses))
-    model = linecrf.train(list(sequences))
-    hits = [a == b for rows, gold in sequences for a, b in zip(model.viterbi(rows), gold, strict=True)]
+    model = linecrf.train(chains(1))
+    hits = [a == b for rows, gold in chains(2) for a, b in zip(model.viterbi(rows), gold, strict=True)]
     assert np.mean(hits) > 0.97
     assert linecrf.train([]).viterbi([[0], [1]]) == [1, 1]
 
 
+def test_context_decides(spark):
+    """Doubtful lines make up most of both texts; only their neighbours tell them apart."""
+    chain, alone = linecrf.train(chains(1)), linecrf.train(chains(1), chain=False)
+    good, bad = ("\n".join([f"{first} 0", *map(doubtful, range(12))]) for first in (PROSE, MENU))
+    rows = [linecrf.line_features(t.split("\n"))[0] for t in (good, bad)]
+    assert [chain.viterbi(r)[1:] for r in rows] == [[1] * 12, [0] * 12]
+    assert alone.viterbi(rows[0])[1:] == alone.viterbi(rows[1])[1:] and not alone.move.any() and not alone.start.any()
+    df = spark.createDataFrame([(1, good), (2, bad)], "doc_id long, text string")
+    kept = lambda m: {r.doc_id: r.kept for r in linecrf.judge_documents(df, m).collect()}
+    assert kept(chain) == {1: True, 2: False} and len(set(kept(alone).values())) == 1
+
+
 def test_pieces_of_long_chains(monkeypatch):
-    rng = random.Random(5)
-    sequences = []
-    for _ in range(40):
-        lines = [rng.choice(["The river runs on.", "Home | Login | Terms | Share"]) + f" {k}" for k in range(rng.randint(1, 40))]
-        rows, _, guesses = linecrf.line_features(lines)
-        sequences.append((rows, guesses))
+    sequences = [s for s in chains(5, 40) if s[0]]
     whole = linecrf.train(sequences)
-    monkeypatch.setattr(linecrf, "PIECE", 7)
+    monkeypatch.setattr(linecrf, "PIECE", 3)
     parts = linecrf.train(sequences)
-    assert all(whole.viterbi(rows) == parts.viterbi(rows) == gold for rows, gold in sequences)
+    hits = [a == b for rows, gold in sequences for a, b in zip(parts.viterbi(rows), gold, strict=True)]
+    assert np.mean(hits) > 0.97
     assert not np.array_equal(whole.move, parts.move)
 
 
-def test_ends_of_long_documents_train(spark):
-    tail = ["Home | Login | Terms | Share"] * 44
-    texts = ["\n".join([f"The quiet river {i} runs under bridge {k}." for k in range(256)] + tail) for i in range(4)]
-    model = linecrf.fit(spark.createDataFrame([(i, x, "x", "y") for i, x in enumerate(texts)], SCHEMA))
-    assert model.viterbi(linecrf.line_features(texts[0].split("\n"))[0]) == [1] * 256 + [0] * 44
+def corpus_of(texts, labels):
+    return [(i, t, "x", "y") for i, t in enumerate(texts)], [(i, q, 0) for i, q in enumerate(labels)]
+
+
+def not_held_out(n):
+    return [i for i in range(4 * n) if zlib.crc32(str(i).encode()) % 4 != 2][:n]
+
+
+LABELS = "doc_id long, quality int, toxic int"
+
 
+def test_lines_that_recur(spark):
+    """A line behind many different lines recurs; one that is copied with its surroundings doesn't."""
+    texts = [f"Line {i} alone.\nSeen in many texts\nEnd {i}" for i in range(12)] + ["Copied one.\nCopied two.\nCopied three."] * 30
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None), (100, "")], "doc_id long, text string")
+    lines = df.selectExpr("explode(split(text, '\\n')) as line").selectExpr("xxhash64(line) as line")
+    got = {r.line for r in linecrf.recurring_lines(df, lines, recurs=12).collect()}
+    want = {r.h for r in spark.sql("SELECT xxhash64('Seen in many texts') AS h").collect()}
+    assert got == want
+    ids = not_held_out(42)
+    rows = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1, 0) for i in ids], LABELS)
+    found = linecrf.labelled_lines(rows, marks, recurs=12)
+    assert sorted(map(str, (y for _, y in found))) == sorted(map(str, [[1, 0, 1]] * 12 + [[1, 1, 1]] * 30))
 
-def test_repeated_rows_take_one_place(spark, monkeypatch):
-    monkeypatch.setattr(linecrf, "train", lambda sequences: sequences)
-    df = spark.createDataFrame([(i, f"text {i}", "x", "y") for i in range(50)], SCHEMA)
-    first = df.orderBy(F.xxhash64("doc_id", "text")).limit(1).collect()
-    repeated = df.union(spark.createDataFrame(first * 100, SCHEMA))
-    assert len(linecrf.fit(repeated, sample_docs=10)) == len(linecrf.fit(df, sample_docs=10)) == 10
+
+def test_held_out_labels_are_not_used(spark):
+    rows, labels = corpus_of([f"{PROSE} {i}" for i in range(40)], [1] * 40)
+    turned = [(d, 0 if zlib.crc32(str(d).encode()) % 4 == 2 else q, 0) for d, q, _ in labels]
+    df = spark.createDataFrame(rows, SCHEMA)
+    a, b = (linecrf.fit(df, spark.createDataFrame(x, LABELS)) for x in (labels, turned))
+    assert (a.emit == b.emit).all() and (a.move == b.move).all()
+
+
+def test_the_sample_is_bounded(spark):
+    ids = not_held_out(40)
+    df = spark.createDataFrame([(i, f"{PROSE} {i}\n{MENU}", "x", "y") for i in ids] * 3, SCHEMA)
+    marks = spark.createDataFrame([(i, i % 2, 0) for i in ids] + [(None, 1, 0), (ids[0], None, 0)], LABELS)
+    assert len(linecrf.labelled_lines(df, marks)) == 40
+    assert len(linecrf.labelled_lines(df, marks, sample_docs=10)) == 10
+    few = linecrf.labelled_lines(df, marks, max_bytes=1000)
+    assert 1 <= len(few) < 40 and few == linecrf.labelled_lines(df, marks)[: len(few)]
+    assert linecrf.labelled_lines(df, marks.limit(0)) == []
 
 
 def test_documents(spark):
@@ -125,9 +184,11 @@ def test_documents(spark):
     prose = "\n".join(f"The river {' '.join(rng.choice(fill) for _ in range(12))}." for _ in range(12))
     junk = "\n".join(f"Home {i} | Login | Share {i} | Terms | $$$ ### {i}" for i in range(30))
     rows = [(i, prose.replace("river", f"river{i}")) for i in range(30)] + [(100 + i, junk.replace("Home", f"Home{i}")) for i in range(20)]
+    labels = [(d, int(d < 100), 0) for d, _ in rows]
     rows += [(None, prose), (500, None), (501, ""), (502, "short text"), (503, "word " * 50_000), (1, rows[1][1])]
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)
-    model = linecrf.fit(df)
+    marks = spark.createDataFrame(labels, LABELS)
+    model = linecrf.fit(df, marks)
     out = linecrf.judge_documents(df, model).collect()
     assert len(out) == len(rows)
     by_id = {r.doc_id: r for r in out}
@@ -139,4 +200,14 @@ def test_documents(spark):
     lines = linecrf.label_lines(df.filter("doc_id = 101"), model).collect()
     assert len(lines) == 30 and not any(r.content for r in lines)
     assert linecrf.judge_documents(spark.createDataFrame([], SCHEMA), model).collect() == []
-    assert linecrf.fit(spark.createDataFrame([], SCHEMA)).viterbi([[0]]) == [1]
+    assert linecrf.fit(spark.createDataFrame([], SCHEMA), marks).viterbi([[0]]) == [1]
+
+
+def test_verdicts_on_held_out_documents(spark):
+    """Documents that pass the base rules are judged by the chain; the labels of held-out ones are met."""
+    sf = "/root/testdata/sf0.01"
+    docs, marks = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r.doc_id: r.quality for r in marks.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
+    out = linecrf.judge_documents(docs, linecrf.fit(docs, marks)).collect()
+    hits = [r.kept == bool(truth[r.doc_id]) for r in out if r.doc_id in truth and not r.base_failed]
+    assert len(hits) > 30 and np.mean(hits) > 0.9
