@@ -3,10 +3,13 @@
 Every rolling run of k words of a text is hashed and joined to the runs of the
 license templates (a fixed, small table, so it is broadcast). A hit at word p
 of the text and word t of a template votes for the diagonal p - t: where the
-template would start. Votes are summed by text, template and diagonal;
-neighbouring diagonals, which words put in or left out shift, are merged into a
-span; a span is verified by the share of the template's runs that it holds,
-word for word.
+template would start. Votes are summed by text, template and diagonal. Words put
+in or left out shift the diagonal, so each diagonal is merged with those up to
+``drift`` behind it into a span, which is thereby at most ``drift`` words longer
+than the template. A span is verified: of its hits, equal word for word, the
+longest chain in which both the places in the text and those in the template
+rise is found, and its share of the template's runs is the span's coverage.
+Runs out of order, or scattered, prove nothing.
 
 A diagonal with the votes of all runs of a template is a literal occurrence.
 """
@@ -20,8 +23,8 @@ from millrace.llm._common import source_columns
 
 #: Words of a run.
 K = 3
-#: Diagonals at most so far apart are merged.
-SLACK = 3
+#: Diagonals of a span lie at most so far apart: words put in or left out, all in all.
+DRIFT = 6
 #: Share of a template's runs that a span must hold.
 COVERAGE = 0.7
 
@@ -31,19 +34,25 @@ PHRASES = [
     ("apache-2", "apache license version 2"),
     ("cc-by-nc", "cc by nc"),
 ]
-# Opening words of well-known licenses and notices, with their labels.
+# Words of well-known licenses and notices by which they differ from others, with their labels.
 TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("gpl", "the gnu general public license"),
+    ("lgpl", "gnu lesser general public license"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc-by", "creative commons attribution 4 0"),
+    ("cc-by-sa", "creative commons attribution sharealike 4 0"),
     ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain"),
     ("proprietary", "all rights reserved no part of this publication may be reproduced"),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("gpl-2", "either version 2 of the license"),
+    ("gpl-2", "general public license version 2"),
+    ("gpl-3", "either version 3 of the license"),
+    ("gpl-3", "general public license version 3"),
+    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
 ]
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -89,31 +98,38 @@ def votes(docs: DataFrame, runs: DataFrame, k: int = K) -> DataFrame:
     return hits.groupBy(*keys).agg(F.collect_set("at").alias("held")).withColumn("votes", F.size("held"))
 
 
-def merge_diagonals(tally: DataFrame, slack: int = SLACK) -> DataFrame:
-    """Spans of neighbouring diagonals, with the share of the template's runs that they hold.
+def longest_chain(hits: Column, size: Column) -> Column:
+    """Hits in the longest chain that rises in both coordinates.
 
-    ``places`` counts the diagonals that hold the whole template literally;
-    ``first_place`` and ``last_place`` are the outer ones. A diagonal joins the span before it if they are at most ``slack`` apart. The
-    groups are those of one text and template.
+    ``hits`` are structs ``at, back`` in order: the place in the template, and
+    minus the place in the span. For each place the most hits of a chain that
+    ends there or before is carried on; of hits with one ``at`` the later come
+    first, so that a chain holds one of them at most. ``size`` is the span's.
     """
-    order = Window.partitionBy("id", "tie", "template").orderBy("diagonal")
-    gap = F.col("diagonal") - F.lag("diagonal").over(order)
-    marked = tally.withColumn("opens", F.when(gap.isNull() | (gap > slack), 1).otherwise(0))
-    spans = marked.withColumn("span", F.sum("opens").over(order))
-    literal = F.when(F.col("votes") == F.col("runs"), F.col("diagonal"))
-    return (
-        spans.groupBy("id", "tie", "template", "label", "base", "runs", "span")
-        .agg(
-            F.min("diagonal").alias("first"),
-            F.max("diagonal").alias("last"),
-            F.flatten(F.collect_list("held")).alias("held"),
-            F.count(literal).alias("places"),
-            F.min(literal).alias("first_place"),
-            F.max(literal).alias("last_place"),
-        )
-        .withColumn("coverage", F.size(F.array_distinct("held")) / F.col("runs"))
-        .drop("held")
-    )
+    reach = F.array_repeat(F.lit(0), size.cast("int"))
+
+    def grow(best: Column, hit: Column) -> Column:
+        place = -hit["back"]
+        longer = F.coalesce(F.get(best, place - 1), F.lit(0)) + 1
+        return F.transform(best, lambda n, i: F.when(i >= place, F.greatest(n, longer)).otherwise(n))
+
+    return F.element_at(F.aggregate(hits, reach, grow), -1)
+
+
+def merge_diagonals(tally: DataFrame, drift: int = DRIFT) -> DataFrame:
+    """Verified spans: one row for each diagonal, which opens a span, with the ``coverage`` of the span.
+
+    ``place`` is the diagonal if it holds the whole template literally. The
+    groups are those of one text and template, and a span holds at most
+    ``drift`` + 1 diagonals.
+    """
+    ahead = Window.partitionBy("id", "tie", "template").orderBy("diagonal").rangeBetween(0, drift)
+    own = F.transform("held", lambda at: F.struct(at.alias("at"), F.col("diagonal").alias("diagonal")))
+    spans = tally.withColumn("span", F.flatten(F.collect_list(own).over(ahead)))
+    hits = F.transform("span", lambda h: F.struct(h["at"].alias("at"), (F.col("diagonal") - h["diagonal"] - h["at"]).alias("back")))
+    chain = longest_chain(F.array_sort(hits), F.col("runs") + drift)
+    place = F.when(F.col("votes") == F.col("runs"), F.col("diagonal"))
+    return spans.select("id", "tie", "template", "label", "base", "diagonal", place.alias("place"), (chain / F.col("runs")).alias("coverage"))
 
 
 def scan_licenses(
@@ -121,7 +137,7 @@ def scan_licenses(
     phrases: list[tuple[str, str]] = PHRASES,
     templates: list[tuple[str, str]] = TEMPLATES,
     k: int = K,
-    slack: int = SLACK,
+    drift: int = DRIFT,
     coverage: float = COVERAGE,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -141,13 +157,13 @@ def scan_licenses(
     runs = template_runs(df.sparkSession, phrases, templates, k)
     docs = source_columns(df, id=id_col, text=text_col)
     docs = docs.select("id", F.xxhash64("text").alias("tie"), words_of(F.col("text")).alias("words"))
-    spans = merge_diagonals(votes(docs, runs, k), slack)
-    stands = F.col("base") & (F.col("places") > 0)
+    spans = merge_diagonals(votes(docs, runs, k), drift)
+    stands = F.col("base") & F.col("place").isNotNull()
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     found = spans.groupBy("id", "tie").agg(
-        F.sum(F.when(stands, F.col("places"))).alias("n_base"),
-        F.min(F.when(stands, F.col("first_place"))).cast("long").alias("first_word"),
-        F.max(F.when(stands, F.col("last_place"))).cast("long").alias("last_word"),
+        F.count(F.when(stands, F.col("place"))).alias("n_base"),
+        F.min(F.when(stands, F.col("place"))).cast("long").alias("first_word"),
+        F.max(F.when(stands, F.col("place"))).cast("long").alias("last_word"),
         joined(F.when(stands, F.col("label"))).alias("base_labels"),
         joined(F.when(stands | ((F.col("coverage") >= coverage) & ~F.col("base")), F.col("label"))).alias("labels"),
         F.max("coverage").alias("score"),

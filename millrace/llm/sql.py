@@ -64,7 +64,7 @@ FROM d LEFT JOIN s USING (rid) LEFT JOIN u USING (node) LEFT JOIN l USING (node)
 
 
 def license_scan() -> str:
-    """Votes, merged diagonals and coverage, over the same templates."""
+    """Hits of the same templates, and for each diagonal the longest rising chain in the span that it opens."""
     rows: list[str] = []
     for base, group in (("true", licenses.PHRASES), ("false", licenses.TEMPLATES)):
         for label, text in group:
@@ -79,11 +79,15 @@ w AS (SELECT rid, unnest(ws) AS w0, generate_subscripts(ws, 1) - 1 AS pos FROM d
 g AS (SELECT rid, pos, w0, lead(w0) OVER s AS w1, lead(w0, 2) OVER s AS w2 FROM w WINDOW s AS (PARTITION BY rid ORDER BY pos)),
 h AS MATERIALIZED (SELECT DISTINCT rid, template, label, base, runs, spot, pos - spot AS diagonal FROM g JOIN t ON w0 = t0 AND w1 = t1 AND w2 = t2),
 v AS (SELECT rid, template, label, base, runs, diagonal, count(*) AS votes FROM h GROUP BY ALL),
-o AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) <= {licenses.SLACK} THEN 0 ELSE 1 END AS opens FROM v),
-p AS (SELECT *, sum(opens) OVER (PARTITION BY rid, template ORDER BY diagonal) AS span FROM o),
-c AS (SELECT p.rid, p.label, p.base, count(DISTINCT h.spot) / p.runs AS coverage
-      FROM p JOIN h USING (rid, template, diagonal) GROUP BY p.rid, p.template, p.label, p.base, p.runs, p.span),
-f AS (SELECT rid, diagonal AS place, label AS base_label, label, 1.0::DOUBLE AS coverage FROM v WHERE base AND votes = runs
+s AS (SELECT v.rid, v.template, v.label, v.base, v.runs, v.diagonal, v.votes, h.spot, h.spot + h.diagonal - v.diagonal + 1 AS place
+      FROM v JOIN h ON v.rid = h.rid AND v.template = h.template AND h.diagonal BETWEEN v.diagonal AND v.diagonal + {licenses.DRIFT}),
+z AS (SELECT rid, label, base, runs, diagonal, votes,
+             list_reduce(list([place] ORDER BY spot, place DESC), lambda f, x: list_transform(f, lambda n, i: CASE WHEN i >= x[1] THEN
+                 greatest(n, 1 + CASE WHEN x[1] > 1 THEN f[x[1] - 1] ELSE 0 END) ELSE n END),
+                 list_transform(range(runs + {licenses.DRIFT}), lambda n: 0::BIGINT)) AS best
+      FROM s GROUP BY rid, template, label, base, runs, diagonal, votes),
+c AS (SELECT rid, label, base, CASE WHEN votes = runs THEN diagonal END AS place, best[-1] / runs AS coverage FROM z),
+f AS (SELECT rid, place, label AS base_label, label, coverage FROM c WHERE base AND place IS NOT NULL
       UNION ALL SELECT rid, NULL, NULL, CASE WHEN coverage >= {licenses.COVERAGE} AND NOT base THEN label END, coverage FROM c),
 r AS (SELECT rid, count(place) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT base_label, ',' ORDER BY base_label) AS base_labels,
              string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score FROM f GROUP BY rid)

@@ -63,8 +63,58 @@ def test_plan_has_no_python(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-def test_merging_of_diagonals(spark):
-    rows = [(1, 1, 0, "l", False, 9, d, [d % 9]) for d in (10, 12, 30, 33, 37)]
-    tally = spark.createDataFrame(rows, "id long, tie long, template int, label string, base boolean, runs int, diagonal int, held array<int>")
-    spans = licenses.merge_diagonals(tally.withColumn("votes", F.size("held")), 3).collect()
-    assert sorted((r["first"], r["last"]) for r in spans) == [(10, 12), (30, 33), (37, 37)]
+def test_order_and_extent_count(spark):
+    """Runs one after the other, out of order, or far apart are no license."""
+    bsd = dict(licenses.TEMPLATES)["bsd"].split()
+    runs = [bsd[i : i + 3] for i in range(len(bsd) - 2)]
+    stutter = " ".join(w for r in runs for w in r)
+    shuffled = " ".join(w for r in reversed(runs) for w in r)
+    apart = " pad pad pad pad pad pad pad pad ".join(" ".join(r) for r in runs)
+    halves = " ".join(bsd[10:] + bsd[:10])
+    df = spark.createDataFrame(list(enumerate([stutter, shuffled, apart, halves, " ".join(bsd)])), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(df).collect()}
+    assert [got[i].labels for i in range(5)] == ["", "", "", "", "bsd"]
+    assert max(got[i].score for i in range(4)) < licenses.COVERAGE and got[4].score == 1
+
+
+def test_versions_are_told_apart(spark):
+    text = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    bsd3 = dict(licenses.TEMPLATES)["bsd"] + " a b c " + dict(licenses.TEMPLATES)["bsd-3"]
+    by = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    lesser = text.format(3).replace("GNU General", "GNU Lesser General")
+    rows = [(5, by.format("")), (6, by.format("-ShareAlike")), (7, lesser)]
+    rows += [(1, text.format(2)), (2, text.format(3)), (3, "GNU General Public License, version 3."), (4, bsd3)]
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "gpl,gpl-2", 2: "gpl,gpl-3", 3: "gpl-3", 4: "bsd,bsd-3", 5: "cc-by", 6: "cc-by-sa", 7: "gpl-3,lgpl"}
+
+
+def brute_score(text, templates, drift):
+    """Best share of a template's runs in a chain of hits, over all spans of ``drift`` + 1 diagonals."""
+    words, best = words_of(text), 0.0
+    for _, template in templates:
+        parts = template.split()
+        n = len(parts) - 2
+        hits = sorted((t, p) for t in range(n) for p in range(len(words) - 2) if words[p : p + 3] == parts[t : t + 3])
+        for low in {p - t for t, p in hits}:
+            span = [(t, p) for t, p in hits if low <= p - t <= low + drift]
+            length = [1] * len(span)
+            for j, (t, p) in enumerate(span):
+                length[j] = 1 + max((length[i] for i in range(j) if span[i][0] < t and span[i][1] < p), default=0)
+            best = max(best, max(length) / n)
+    return best
+
+
+def test_spans_against_brute_force(spark):
+    rng = random.Random(8)
+    templates = [t for t in licenses.TEMPLATES if t[0] in ("bsd", "isc", "gpl-2")]
+    rows = []
+    for i in range(150):
+        words = rng.choice(templates)[1].split()
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randint(0, 3)] = rng.choice([[], ["x"], words[:4], words[at : at + 5]])
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in licenses.scan_licenses(df, phrases=[], templates=templates).collect()}
+    assert {d: round(s, 9) for d, s in got.items()} == {d: round(brute_score(t, templates, licenses.DRIFT), 9) for d, t in rows}
+    assert len(set(got.values())) > 10
