@@ -148,6 +148,51 @@ def map_rows(
     return df.mapInArrow(run, schema)
 
 
+#: Bits of a key filter at most: 32 MB, whatever the number of keys.
+FILTER_BITS = 1 << 28
+_BUCKET_BITS = 1 << 15
+
+
+def key_filter(keys: DataFrame, key: str, n_keys: int) -> tuple[DataFrame, int]:
+    """A bitmap of 64-bit keys in rows ``bucket, bits`` of 4 KB, and its size: 16 bits a key, up to FILTER_BITS.
+
+    It holds every key, and by chance others: beyond the bound more of them,
+    up to all. What passes must be joined with the keys themselves.
+    """
+    n_bits = min(FILTER_BITS, max(_BUCKET_BITS, 1 << (16 * n_keys).bit_length()))
+    at = F.pmod(F.col(key), F.lit(n_bits))
+    marks = keys.select(F.floor(at / _BUCKET_BITS).alias("bucket"), F.pmod(at, F.lit(_BUCKET_BITS)).alias("bit"))
+    return marks.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")), n_bits
+
+
+def passes(df: DataFrame, key: str, bitmap: tuple[DataFrame, int], flag: str) -> DataFrame:
+    """``df`` with the column ``flag``: whether the filter holds ``key``. Nothing is shuffled; null keys don't pass."""
+    bits, n_bits = bitmap
+    bits = bits.select(F.col("bucket").alias(f"{flag}_bucket"), F.col("bits").alias(f"{flag}_bits"))
+    at = F.pmod(F.col(key), F.lit(n_bits))
+    bit = F.pmod(at, F.lit(_BUCKET_BITS))
+    byte = F.substring(f"{flag}_bits", F.floor(bit / 8).cast("int") + 1, 1)
+    value = F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(F.pow(F.lit(2), F.pmod(bit, F.lit(8))).cast("int"))
+    joined = df.join(F.broadcast(bits), F.floor(at / _BUCKET_BITS) == F.col(f"{flag}_bucket"), "left")  # 32 MB at most
+    return joined.withColumn(flag, F.coalesce(value > 0, F.lit(False))).drop(f"{flag}_bucket", f"{flag}_bits")
+
+
+def left_join_few(body: DataFrame, few: DataFrame, on: list[tuple[str, str]], key: str, few_key: str) -> DataFrame:
+    """Left join of ``body`` with a written table of rather few rows, equal nulls matching.
+
+    Only rows of ``body`` whose 64-bit ``key`` may be among ``few_key`` are
+    shuffled; the others pass as they are, with nulls. Column names must differ.
+    """
+    marked = passes(body, key, key_filter(few, few_key, few.count()), "may_match")
+    match = None
+    for a, b in on:
+        same = body[a].eqNullSafe(few[b])
+        match = same if match is None else match & same
+    near = marked.filter("may_match").drop("may_match").join(few, match, "left")
+    rest = marked.filter("not may_match").drop("may_match")
+    return near.unionByName(rest, allowMissingColumns=True)
+
+
 def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

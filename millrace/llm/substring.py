@@ -1,7 +1,6 @@
 """Substring dedup: remove words in windows that repeat anywhere in the corpus.
 
-A window is ``window`` consecutive words of one document. Three scans, none of
-which holds more than a sketch of bounded size:
+A window is ``window`` consecutive words of one document.
 
 1. *Sketch.* Every window has an anchor, the run of ``gram`` words in it whose
    hash is smallest. Equal windows have equal anchors in equal places, so an
@@ -18,16 +17,20 @@ which holds more than a sketch of bounded size:
    are joined with the places of their unique windows, and every word that
    another candidate window covers is removed.
 
-The width of the sketch follows the size of the corpus up to ``max_cells``. At
-that bound it lets more unique windows through to the exact count; the result
-is the same.
+The width of the sketch follows the size of the corpus, five cells for an
+anchor, so the share of unique windows that it lets through stays the same. Up
+to ``max_cells`` every worker reads it whole. Beyond, it is cut into slices of
+that many cells by a hash of the anchor, and no worker needs more than one: the
+texts are written with the number of their partition, each partition sends its
+distinct anchors to the tasks of their slices, and gets back, as a table, those
+that are estimated repeated. The result is the same.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import compress
 
@@ -36,13 +39,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import RowBuffer, arrow_schema, frees_between_queries, map_rows, mapped, shared_dir, sliced, source_columns, text_bytes
+from millrace.llm._common import (
+    RowBuffer,
+    arrow_schema,
+    frees_between_queries,
+    left_join_few,
+    map_rows,
+    mapped,
+    materialize,
+    shared_dir,
+    sliced,
+    source_columns,
+    text_bytes,
+)
 
 WINDOW = 35
 GRAM = 18
 DEPTH = 2
-#: Cells of a sketch row: bits once merged, so 2**31 of them are 256 MB.
-MAX_CELLS = 1 << 31
+#: Cells of a sketch row that a worker reads at most: bits once merged, so 2**30 of them are 256 MB with two rows.
+MAX_CELLS = 1 << 30
 MIN_CELLS = 1 << 20
 #: Cells of a block, the unit in which sketches are merged.
 BLOCK_CELLS = 1 << 16
@@ -99,7 +114,7 @@ def _segments(data: bytes) -> Iterator[tuple[int, int]]:
         low = high
 
 
-def hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hash_words(data: bytes, multiplier: int = _MULTIPLIERS[2]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of the words of a text: runs of anything but ASCII white space.
 
     A word's hash is that of its bytes as a polynomial, from sums over the whole
@@ -110,7 +125,7 @@ def hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         text = np.frombuffer(data, np.uint8, high - low, low)
         edges = np.flatnonzero(np.diff(_IS_SPACE[text], prepend=True, append=True))
         starts, ends = edges[::2], edges[1::2]
-        ups, downs = _powers(_MULTIPLIERS[2], 1 << max(12, len(text).bit_length()))
+        ups, downs = _powers(multiplier, 1 << max(12, len(text).bit_length()))
         sums = np.zeros(len(text) + 1, np.uint64)
         np.cumsum((text + np.uint64(1)) * ups[: len(text)], out=sums[1:])
         parts.append((_mix((sums[ends] - sums[starts]) * downs[starts]), starts + low, ends + low))
@@ -134,13 +149,19 @@ def anchors(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple
     return grams, places + np.arange(len(views))
 
 
-def window_hashes(hashes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each window."""
-    return tuple(_mix(_rolling(hashes, window, m)).view(np.int64) for m in _MULTIPLIERS[:2])
+def window_hashes(data: bytes, hashes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each window, from two hashes of each word."""
+    others = hash_words(data, _MULTIPLIERS[1])[0]
+    return tuple(_mix(_rolling(h, window, m)).view(np.int64) for h, m in zip((hashes, others), _MULTIPLIERS[:2], strict=True))
+
+
+def slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
+    """The slice, of a power of two, that a key belongs to."""
+    return _mix(keys ^ np.uint64(0x8EBC6AF09C88C6E3)) & np.uint64(slices - 1)
 
 
 def cells_of(keys: np.ndarray, cells: int, row: int) -> np.ndarray:
-    """The cell of each key in a row of the sketch."""
+    """The cell of each key in a row of its slice of the sketch."""
     h = _mix(keys + np.uint64(0xA0761D6478BD642F * (row + 1) & 0xFFFFFFFFFFFFFFFF))
     return h & np.uint64(cells - 1)
 
@@ -148,19 +169,21 @@ def cells_of(keys: np.ndarray, cells: int, row: int) -> np.ndarray:
 # ---------------------------------------------------------------- the sketch
 
 
-def sketch_cells(n_bytes: int, max_cells: int = MAX_CELLS) -> int:
-    """Cells of a row for so many bytes of text, a power of two.
+def sketch_size(n_bytes: int, max_cells: int = MAX_CELLS) -> tuple[int, int]:
+    """Cells of a row in a slice, and slices, for so many bytes of text; both powers of two.
 
     Prose has about six bytes a word and an anchor for ten words: one cell for
     twelve bytes is about five for an anchor.
     """
-    return min(max_cells, max(MIN_CELLS, 1 << (max(1, int(n_bytes) // 12) - 1).bit_length()))
+    cells = max(MIN_CELLS, 1 << (max(1, int(n_bytes) // 12) - 1).bit_length())
+    return min(cells, max_cells), max(1, cells // max_cells)
 
 
-def partition_sketch(keys: np.ndarray, counts: np.ndarray, cells: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+def partition_sketch(keys: np.ndarray, counts: np.ndarray, cells: int, slices: int = 1) -> Iterator[tuple[int, int, bytes, bytes]]:
     """Blocks (row, block, cells counted once, cells counted twice or more) of the sketch of some keys."""
     for row in range(DEPTH):
-        at = np.sort(np.repeat(cells_of(keys, cells, row), np.minimum(counts, 2)))
+        spots = cells_of(keys, cells, row) + slice_of(keys, slices) * np.uint64(cells)
+        at = np.sort(np.repeat(spots, np.minimum(counts, 2)))
         first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.empty(0, np.int64)
         times = np.diff(np.append(first, len(at)))
         at = at[first]
@@ -172,61 +195,99 @@ def partition_sketch(keys: np.ndarray, counts: np.ndarray, cells: int) -> Iterat
             yield row, int(block[a]), inner[a:b][once].tobytes(), inner[a:b][~once].tobytes()
 
 
-def build_sketch(docs: DataFrame, cells: int, window: int, gram: int) -> str:
-    """Sketch the anchors of all texts; returns the path of the merged blocks (Parquet)."""
+def anchor_runs(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that share an anchor: the anchor's key, the first window, the number of windows."""
+    grams, places = anchors(hashes, window, gram)
+    if not len(places):
+        return np.empty(0, np.uint64), places, places
+    first = np.flatnonzero(np.append(True, places[1:] != places[:-1]))
+    return grams[places[first]], first, np.diff(np.append(first, len(places)))
+
+
+def build_sketch(docs: DataFrame, cells: int, slices: int, window: int, gram: int) -> str:
+    """Sketch the anchors of all texts; returns the path of the merged blocks (Parquet, a folder for each slice)."""
     spark = docs.sparkSession
-    ddl = "row int, block int, once binary, more binary"
+    ddl = "row int, block long, once binary, more binary"
     schema = arrow_schema(spark, ddl)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
         for batch in sliced(batches):
             for data in text_bytes(batch.column("text")):
-                grams, places = anchors(hash_words(data)[0], window, gram)
-                if len(places):
-                    found.append(grams[places[np.append(True, places[1:] != places[:-1])]])
+                found.append(anchor_runs(hash_words(data)[0], window, gram)[0])
         if not found:
             return
         keys, counts = np.unique(np.concatenate(found), return_counts=True)
         buffer = RowBuffer(schema)
-        for row in partition_sketch(keys, counts, cells):
+        for row in partition_sketch(keys, counts, cells, slices):
             buffer.add(row, len(row[2]) + len(row[3]) + 16)
             if buffer.full:
                 yield buffer.take()
         if buffer.rows:
             yield buffer.take()
 
+    per_slice = max(1, cells // BLOCK_CELLS)
+
     def merge(key, table):
         count = np.zeros(BLOCK_CELLS, np.int32)
         for once, more in zip(table["once"].to_pylist(), table["more"].to_pylist(), strict=True):
             np.add.at(count, np.frombuffer(once, "<u2"), 1)
             count[np.frombuffer(more, "<u2")] += 2
         bits = np.packbits(count >= 2, bitorder="little").tobytes()
-        return pa.table({"row": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "bits": [bits]})
+        row, block = key[0].as_py(), key[1].as_py()
+        return pa.table(
+            {
+                "slice": pa.array([block // per_slice], pa.int32()),
+                "row": pa.array([row], pa.int32()),
+                "block": pa.array([block % per_slice], pa.int32()),
+                "bits": [bits],
+            }
+        )
 
     path = shared_dir(spark, "sketch")
     blocks = mapped(docs.select("text"), partial, ddl)
     # at most one row a partition and block comes together, of bounded size
-    blocks.groupBy("row", "block").applyInArrow(merge, "row int, block int, bits binary").write.parquet(path)
+    merged = blocks.groupBy("row", "block").applyInArrow(merge, "slice int, row int, block int, bits binary")
+    if slices > 1:
+        merged = merged.repartition("slice")
+    merged.write.partitionBy("slice").parquet(path)
     return path
 
 
-@lru_cache(maxsize=1)
-def _load_sketch(path: str, cells: int) -> np.ndarray:
-    """The bits "counted twice or more" of all rows; once for each worker process."""
+def _parquet_batches(path: str) -> Iterator[pa.RecordBatch]:
+    """The batches below a path of the shared folder; none where there is nothing."""
     import pyarrow.dataset as ds
-    from pyarrow.fs import FileSystem
+    from pyarrow.fs import FileSystem, FileType
 
-    bits = np.zeros((DEPTH, cells // 8), np.uint8)
     fs, folder = FileSystem.from_uri(path)
-    for batch in ds.dataset(folder, filesystem=fs, format="parquet").to_batches():
+    if fs.get_file_info(folder).type == FileType.Directory:
+        yield from ds.dataset(folder, filesystem=fs, format="parquet").to_batches()
+
+
+@lru_cache(maxsize=1)
+def _load_sketch(path: str, cells: int, piece: int = 0) -> np.ndarray:
+    """The bits "counted twice or more" of all rows of a slice; kept by a worker process while it needs that slice."""
+    bits = np.zeros((DEPTH, cells // 8), np.uint8)
+    for batch in _parquet_batches(f"{path}/slice={piece}"):
         for row, block, part in zip(*(batch.column(c).to_pylist() for c in ("row", "block", "bits")), strict=True):
             at = block * (BLOCK_CELLS // 8)
             bits[row, at : at + BLOCK_CELLS // 8] = np.frombuffer(part, np.uint8)
     return bits
 
 
-frees_between_queries(_load_sketch.cache_clear)
+@lru_cache(maxsize=2)
+def _load_keys(path: str, part: int) -> np.ndarray:
+    """The anchors of a partition of the texts that are estimated repeated, sorted."""
+    found = [batch.column("key").to_numpy() for batch in _parquet_batches(f"{path}/part={part}")]
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+
+
+def _forget() -> None:
+    _load_sketch.cache_clear()
+    _load_keys.cache_clear()
+
+
+frees_between_queries(_forget)
 
 
 def estimated_repeated(keys: np.ndarray, bits: np.ndarray, cells: int) -> np.ndarray:
@@ -238,14 +299,65 @@ def estimated_repeated(keys: np.ndarray, bits: np.ndarray, cells: int) -> np.nda
     return out
 
 
-def candidates(hashes: np.ndarray, bits: np.ndarray, cells: int, window: int, gram: int) -> np.ndarray:
+def _held(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which keys a table, sorted as signed numbers, has."""
+    if not len(table):
+        return np.zeros(len(keys), bool)
+    keys = keys.view(np.int64)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return table[at] == keys
+
+
+def route_anchors(docs: DataFrame, sketch: str, cells: int, slices: int, window: int, gram: int) -> str:
+    """Send the distinct anchors of each partition (column ``part``) to their slices; returns the path of those estimated repeated."""
+    spark = docs.sparkSession
+    ddl = "slice int, part int, key long"
+    schema = arrow_schema(spark, ddl)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[int, list[np.ndarray]] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for part, found in waiting.items():
+                keys = np.unique(np.concatenate(found))
+                columns = [slice_of(keys, slices).astype(np.int32), np.full(len(keys), part, np.int32), keys.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+
+        for batch in sliced(batches):
+            for part, data in zip(batch.column("part").to_pylist(), text_bytes(batch.column("text")), strict=True):
+                keys = anchor_runs(hash_words(data)[0], window, gram)[0]
+                waiting.setdefault(part, []).append(keys)
+                size += len(keys)
+            if size >= 1_000_000:
+                yield from flush()
+                waiting.clear()
+                size = 0
+        if waiting:
+            yield from flush()
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("slice").to_numpy()
+            keys = batch.column("key").to_numpy().view(np.uint64)
+            keep = np.zeros(len(at), bool)
+            for piece in np.unique(at).tolist():  # sorted, so that a slice is read once
+                own = np.flatnonzero(at == piece)
+                keep[own] = estimated_repeated(keys[own], _load_sketch(sketch, cells, piece), cells)
+            yield batch.select(["part", "key"]).filter(pa.array(keep))
+
+    sent = mapped(docs.select("part", "text"), send, ddl).repartition("slice").sortWithinPartitions("slice")
+    path = shared_dir(spark, "anchors")
+    mapped(sent, look, "part int, key long").repartition("part").write.partitionBy("part").parquet(path)
+    return path
+
+
+def candidates(hashes: np.ndarray, repeated: Callable[[np.ndarray], np.ndarray], window: int, gram: int) -> np.ndarray:
     """Starts of the windows whose anchor is estimated to be repeated."""
-    grams, places = anchors(hashes, window, gram)
-    if not len(places):
-        return places
-    edge = np.append(True, places[1:] != places[:-1])
-    flag = estimated_repeated(grams[places[edge]], bits, cells)
-    return np.flatnonzero(flag[np.cumsum(edge) - 1])
+    keys, first, n = anchor_runs(hashes, window, gram)
+    if not len(keys):
+        return first
+    return np.flatnonzero(np.repeat(repeated(keys), n))
 
 
 # ---------------------------------------------------------------- Spark
@@ -285,13 +397,22 @@ def remove_repeated(
     spark = df.sparkSession
     docs = source_columns(df, id=id_col, text=text_col).withColumn("tie", F.xxhash64("text"))
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cells = sketch_cells(n_bytes, max_cells)
-    sketch = build_sketch(docs, cells, window, gram)
+    cells, slices = sketch_size(n_bytes, max_cells)
+    docs = docs.withColumn("part", F.spark_partition_id() if slices > 1 else F.lit(0))
+    if slices > 1:
+        docs = materialize(docs, "parts")  # the rows of a partition stand together and keep its number
+    sketch = build_sketch(docs, cells, slices, window, gram)
+    routed = route_anchors(docs, sketch, cells, slices, window, gram) if slices > 1 else ""
+
+    def windows_of(hashes: np.ndarray, part: int) -> np.ndarray:
+        if routed:
+            return candidates(hashes, lambda keys: _held(keys, _load_keys(routed, part)), window, gram)
+        return candidates(hashes, lambda keys: estimated_repeated(keys, _load_sketch(sketch, cells), cells), window, gram)
+
     ddl = "h1 long, h2 long, n int, id long, tie long, start int"
     schema = arrow_schema(spark, ddl)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = _load_sketch(sketch, cells)
         parts: list[tuple[np.ndarray, ...]] = []
         waiting = 0
 
@@ -318,13 +439,13 @@ def remove_repeated(
                 )
 
         for batch in sliced(batches):
-            columns = (batch.column(c).to_pylist() for c in ("id", "tie"))
-            for doc, tie, data in zip(*columns, text_bytes(batch.column("text")), strict=True):
+            columns = (batch.column(c).to_pylist() for c in ("id", "tie", "part"))
+            for doc, tie, part, data in zip(*columns, text_bytes(batch.column("text")), strict=True):
                 hashes = hash_words(data)[0]
-                starts = candidates(hashes, bits, cells, window, gram)
+                starts = windows_of(hashes, part)
                 if not len(starts):
                     continue
-                h1, h2 = window_hashes(hashes, window)
+                h1, h2 = window_hashes(data, hashes, window)
                 n = len(starts)
                 parts.append(
                     (h1[starts], h2[starts], np.full(n, doc or 0), np.full(n, doc is None), np.full(n, tie), starts.astype(np.int32))
@@ -354,60 +475,64 @@ def remove_repeated(
         return hashlib.sha256(joined).hexdigest() if kept == "digest" else joined.decode()
 
     def split(batch: pa.RecordBatch):
-        bits = _load_sketch(sketch, cells)
-        columns = (batch.column(c).to_pylist() for c in ("id", "tie"))
-        for doc, tie, data in zip(*columns, text_bytes(batch.column("text")), strict=True):
+        columns = (batch.column(c).to_pylist() for c in ("id", "tie", "part"))
+        for doc, tie, part, data in zip(*columns, text_bytes(batch.column("text")), strict=True):
             hashes = hash_words(data)[0]
-            found = len(candidates(hashes, bits, cells, window, gram)) > 0
-            text = data.decode() if found else shown(data.split(), False)
-            yield (doc, tie, len(hashes), found, text), len(data) + 32
+            starts = windows_of(hashes, part)
+            if len(starts):
+                edge = np.flatnonzero(np.append(True, np.diff(starts) > 1))
+                runs = np.stack([starts[edge], np.diff(np.append(edge, len(starts)))]).astype("<i4").tobytes()
+                yield (doc, tie, len(hashes), runs, data.decode()), len(data) + len(runs) + 32
+            else:
+                yield (doc, tie, len(hashes), None, shown(data.split(), False)), 128 if kept != "text" else len(data) + 32
 
     def cut(batch: pa.RecordBatch):
-        bits = _load_sketch(sketch, cells)
-        columns = (batch.column(c).to_pylist() for c in ("id", "tie", "n", "open", "unique_starts"))
-        for doc, tie, n, found, unique_starts, text in zip(*columns, batch.column("text").to_pylist(), strict=True):
+        columns = (batch.column(c).to_pylist() for c in ("id", "tie", "n", "runs", "unique_starts", "text"))
+        for doc, tie, n, runs, unique_starts, text in zip(*columns, strict=True):
             removed = 0
-            if found:
-                data = text.encode()
-                starts = candidates(hash_words(data)[0], bits, cells, window, gram)
+            if runs:
+                first, times = np.frombuffer(runs, "<i4").astype(np.int64).reshape(2, -1)
+                starts = np.repeat(first - np.append(0, np.cumsum(times)[:-1]), times) + np.arange(int(times.sum()))
                 if unique_starts:
                     starts = np.setdiff1d(starts, np.array(unique_starts, np.int64), assume_unique=True)
                 gone = covered(n, starts, window)
                 removed = int(gone.sum())
-                text = shown(list(compress(data.split(), (~gone).tolist())), removed > 0)
+                text = shown(list(compress(text.encode().split(), (~gone).tolist())), removed > 0)
             yield (doc, tie, n, removed, text), len(text or "") + 32
 
-    rows = map_rows(docs, split, "id long, tie long, n long, open boolean, text string")
+    rows = map_rows(docs, split, "id long, tie long, n long, runs binary, text string")
     joined = rows.join(places, rows["id"].eqNullSafe(places["p_id"]) & rows["tie"].eqNullSafe(places["p_tie"]), "left")
-    joined = joined.select("id", "tie", "n", "open", "text", "unique_starts")
+    joined = joined.select("id", "tie", "n", "runs", "text", "unique_starts")
     return map_rows(joined, cut, f"{id_col} long, tie long, n_words long, n_removed long, kept string")
 
 
-def removal_digests(df: DataFrame, window: int = WINDOW, **options) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256`` of :func:`remove_repeated`."""
-    out = remove_repeated(df, window, kept="digest", **options)
-    return out.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+def removal_digests(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", **options) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256`` of :func:`remove_repeated`, which says what becomes of nulls and the like."""
+    out = remove_repeated(df, window, id_col=id_col, kept="digest", **options)
+    return out.select(F.col(f"`{id_col}`"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
 def without_repeats(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
     """The rows of ``df`` with the words of repeated windows removed from their texts.
 
-    Texts that lose nothing stay as they are, white space included; the others
-    have the words that stay, joined by one blank, and ``chars_col``, if it is
-    there, follows the new length. No row is dropped; rows alike in id and text
-    get equal texts.
+    Texts that lose nothing stay as they are, white space included, and aren't
+    shuffled; the others have the words that stay, joined by one blank, and
+    ``chars_col``, if it is there, follows the new length. No row is dropped;
+    rows alike in id and text get equal texts. Null and empty texts stay, null
+    ids are kept, an empty table gives no rows.
     """
     removed = remove_repeated(df, window, id_col=id_col, text_col=text_col, kept="changed", **options)
     removed = removed.filter("n_removed > 0")
     # rows alike in id and text lose the same words
-    removed = removed.groupBy(F.col(id_col).alias("r_id"), F.col("tie").alias("r_tie")).agg(F.first("kept").alias("r_kept"))
+    removed = removed.groupBy(F.col(f"`{id_col}`").alias("r_id"), F.col("tie").alias("r_tie")).agg(F.first("kept").alias("r_kept"))
+    removed = materialize(removed, "removed")
     columns = df.columns
     body = df.select(
         F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"),
         F.col(f"`{id_col}`").alias("b_id"),
         F.xxhash64(F.col(f"`{text_col}`")).alias("b_tie"),
     )
-    joined = body.join(removed, body["b_id"].eqNullSafe(removed["r_id"]) & body["b_tie"].eqNullSafe(removed["r_tie"]), "left")
+    joined = left_join_few(body, removed, [("b_id", "r_id"), ("b_tie", "r_tie")], "b_tie", "r_tie")
     new = {text_col: F.col("r_kept"), chars_col: F.length("r_kept").cast("long")}
     out = []
     for c in columns:

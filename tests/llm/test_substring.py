@@ -42,7 +42,7 @@ def corpus(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("window,gram,cells", [(10, 5, 1 << 20), (10, 10, 1 << 20), (35, 18, 1 << 20), (7, 4, 1 << 16)])
+@pytest.mark.parametrize("window,gram,cells", [(10, 5, 1 << 20), (10, 10, 1 << 20), (35, 18, 1 << 20), (7, 4, 1 << 16), (35, 18, 1 << 17)])
 def test_against_brute_force(spark, window, gram, cells):
     rows = corpus(window)
     df = spark.createDataFrame([(d, t, 1, "x", 2, 3) for d, t in rows], SCHEMA).repartition(5)
@@ -52,7 +52,7 @@ def test_against_brute_force(spark, window, gram, cells):
 
 
 def test_saturated_sketch_loses_nothing(spark, monkeypatch):
-    monkeypatch.setattr(substring, "sketch_cells", lambda n, most: 1 << 16)
+    monkeypatch.setattr(substring, "sketch_size", lambda n, most: (1 << 16, 1))
     rng = random.Random(0)
     rows = [(i, " ".join(str(rng.randint(0, 10**6)) for _ in range(4000))) for i in range(40)]
     rows += [(50, rows[0][1][500:5000])]
@@ -60,10 +60,48 @@ def test_saturated_sketch_loses_nothing(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(brute(rows, 8))
 
 
-def test_kept_text_and_columns(spark):
+def test_slices_keep_the_share_of_windows_flat(spark, monkeypatch):
+    """With a bound on a worker's cells, texts ten times as long pass on no larger a share of their unique windows."""
+    rng = random.Random(0)
+    monkeypatch.setattr(substring, "MIN_CELLS", 1 << 16)
+    passed = []
+    for n in (20, 200):
+        rows = [(i, " ".join(str(rng.randint(0, 10**6)) for _ in range(3000))) for i in range(n)] + [(n, "one two three four " * 3)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        n_bytes = sum(len(t) for _, t in rows)
+        cells, slices = substring.sketch_size(n_bytes, 1 << 16)
+        docs = df.selectExpr("text", "spark_partition_id() as part")
+        docs = substring.materialize(docs, "t")
+        sketch = substring.build_sketch(docs, cells, slices, 35, 18)
+        assert cells == 1 << 16 and slices == max(1, (1 << (n_bytes // 12 - 1).bit_length()) // cells)
+        routed = substring.route_anchors(docs, sketch, cells, slices, 35, 18) if slices > 1 else None
+        share = 0
+        for r in docs.collect():
+            hashes = substring.hash_words(r.text.encode())[0]
+            if routed:
+                found = substring.candidates(hashes, lambda k: substring._held(k, substring._load_keys(routed, r.part)), 35, 18)  # noqa: B023
+            else:
+                bits = substring._load_sketch(sketch, cells)
+                found = substring.candidates(hashes, lambda k: substring.estimated_repeated(k, bits, cells), 35, 18)  # noqa: B023
+            share += len(found)
+        passed.append(share / (n * 2966))
+        got = substring.removal_digests(df, 35, max_cells=1 << 16).collect()
+        assert sorted(map(tuple, got)) == sorted(brute(rows, 35))
+    assert slices >= 8 and passed[1] <= 1.5 * passed[0] + 0.01 and passed[1] < 0.2
+
+
+def test_other_names(spark):
+    rows = corpus(10)
+    df = spark.createDataFrame(rows, "key long, body string")
+    got = substring.removal_digests(df, 10, gram=5, id_col="key", text_col="body")
+    assert got.columns[0] == "key" and got.count() == len(rows)
+
+
+@pytest.mark.parametrize("cells", [1 << 30, 1 << 16])
+def test_kept_text_and_columns(spark, cells):
     rows = corpus(3)
     df = spark.createDataFrame([(d, t, 1, "x", 2, len(t or "")) for d, t in rows], SCHEMA)
-    out = substring.without_repeats(df, 10, gram=5)
+    out = substring.without_repeats(df, 10, gram=5, max_cells=cells)
     assert out.columns == df.columns
     got = Counter((r.doc_id, r.text, r.n_chars) for r in out.collect())
     want = Counter()
