@@ -248,7 +248,7 @@ def base_rules(text: str) -> tuple[int, int, int, int, int, bool]:
 
 
 def recurring_lines(docs: DataFrame, lines: DataFrame, text_col: str = "text", recurs: int = RECURS) -> DataFrame:
-    """Those of ``lines`` (column ``line``, hashes) that stand behind ``recurs`` or more different lines of ``docs``.
+    """Those of ``lines`` (column ``line``, hashes; a bounded table) that stand behind ``recurs`` or more different lines of ``docs``.
 
     The start of a text counts as a line. Pairs of a line and the one before it
     are made distinct before and after the shuffle, so a line of very many
@@ -257,7 +257,8 @@ def recurring_lines(docs: DataFrame, lines: DataFrame, text_col: str = "text", r
     hashes = F.transform(F.split(f"`{text_col}`", "\n"), lambda x: F.xxhash64(x))
     pairs = F.arrays_zip(hashes.alias("line"), F.concat(F.array(F.lit(0).cast("long")), hashes).alias("before"))
     rows = docs.select(F.explode(pairs).alias("p")).select("p.line", "p.before").filter("line is not null")
-    rows = rows.join(lines.select("line").distinct(), "line", "left_semi").distinct()
+    # the lines of a sample whose features are bounded in bytes: a few MB at most
+    rows = rows.join(F.broadcast(lines.select("line").distinct()), "line", "left_semi").distinct()
     return rows.groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= recurs).select("line")
 
 
