@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.storage import shared_dir
+from millrace.storage import release, shared_dir
 
 #: The words of several operators: runs of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -29,6 +29,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*written: DataFrame) -> None:
+    """Delete what :func:`materialize` wrote, once nothing reads it any more."""
+    for df in written:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            release(df.sparkSession, path)
+
+
+def store(uri: str):
+    """The file system and the path of a place in the shared folder, as executors open it."""
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(uri)
+
+
 def text_bytes(values: pa.Array) -> list[bytes]:
     """A string column as UTF-8 bytes; null counts as empty."""
     if pa.types.is_string(values.type):

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._common import RowBuffer, arrow_schema, map_rows, materialize, shared_dir, sliced, source_columns, texts
+from millrace.llm._common import RowBuffer, arrow_schema, map_rows, materialize, shared_dir, sliced, source_columns, store, texts
 from millrace.llm.tokenization import encoder, in_slices
 
 _HEAD = "<qBB"
@@ -136,12 +136,6 @@ def unframe(data: bytes, entries: np.ndarray, base: int = 0) -> list[bytes]:
     return out
 
 
-def _store(path: str):
-    from pyarrow.fs import FileSystem
-
-    return FileSystem.from_uri(path)
-
-
 def write_records(
     df: DataFrame,
     tokenizer_path: str,
@@ -165,7 +159,7 @@ def write_records(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, context = encoder(tokenizer_path), TaskContext.get()
-        fs, folder = _store(path)
+        fs, folder = store(path)
         fs.create_dir(folder, recursive=True)
         name = f"shard-{context.partitionId():06d}-{context.taskAttemptId()}.records"
         end = np.array([end_id], model.dtype).tobytes()
@@ -209,7 +203,7 @@ def read_records(manifest: DataFrame, chunk_bytes: int = 8 << 20, with_ids: bool
 
     def run(batch: pa.RecordBatch):
         for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
-            fs, name = _store(path)
+            fs, name = store(path)
             with fs.open_input_stream(f"{name}.index") as f:
                 index = np.frombuffer(f.read(), INDEX)
             with fs.open_input_file(name) as f:
@@ -232,7 +226,7 @@ def read_records(manifest: DataFrame, chunk_bytes: int = 8 << 20, with_ids: bool
 
 def read_at(path: str, positions: list[int]) -> list[np.ndarray]:
     """The ids of single records of a shard, by their position: a shuffled read."""
-    fs, name = _store(path)
+    fs, name = store(path)
     with fs.open_input_stream(f"{name}.index") as f:
         index = np.frombuffer(f.read(), INDEX)
     out = []

@@ -50,6 +50,7 @@ from millrace.llm._common import (
     shared_dir,
     sliced,
     source_columns,
+    store,
     text_bytes,
 )
 
@@ -257,9 +258,9 @@ def build_sketch(docs: DataFrame, cells: int, slices: int, window: int, gram: in
 def _parquet_batches(path: str) -> Iterator[pa.RecordBatch]:
     """The batches below a path of the shared folder; none where there is nothing."""
     import pyarrow.dataset as ds
-    from pyarrow.fs import FileSystem, FileType
+    from pyarrow.fs import FileType
 
-    fs, folder = FileSystem.from_uri(path)
+    fs, folder = store(path)
     if fs.get_file_info(folder).type == FileType.Directory:
         yield from ds.dataset(folder, filesystem=fs, format="parquet").to_batches()
 

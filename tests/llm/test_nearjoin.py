@@ -123,6 +123,40 @@ def test_components(spark, seed):
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_shared_grams_both_ways():
+    rng = np.random.default_rng(2)
+    for universe in (60, 100_000):  # matrices, or pair by pair
+        sets = [np.unique(rng.integers(0, universe, 40).astype(np.uint64)) for _ in range(30)]
+        a, b = nearjoin.Block.of(list(range(12)), sets[:12]), nearjoin.Block.of(list(range(18)), sets[12:])
+        for p, q, second in ((a, b, sets[12:]), (a, a, sets[:12])):
+            xs, ys = (v.ravel() for v in np.meshgrid(np.arange(12), np.arange(len(second)), indexing="ij"))
+            want = [len(np.intersect1d(sets[x], second[y])) for x, y in zip(xs, ys, strict=True)]
+            assert nearjoin.shared_grams(p, q, xs, ys).tolist() == want
+            assert nearjoin.shared_grams(p, q, xs[:3], ys[:3]).tolist() == want[:3]
+
+
+def test_rows_of_a_large_group_are_linear(spark, monkeypatch):
+    """One group of near copies in blocks of 20: rows that come out of its tasks grow with n, its links with n**2."""
+    counted = []
+    keep = nearjoin.materialize
+
+    def spy(df, name):
+        out = keep(df, name)
+        counted.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(nearjoin, "materialize", spy)
+    base = [f"w{i}" for i in range(400)]
+    for n in (60, 240):
+        rows = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(n)]
+        counted.clear()
+        out = nearjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block_nodes=20).collect()
+        assert {r.class_id for r in out} == {0} and {r.n_links for r in out} == {n - 1}
+        seen = dict(counted)
+        blocks = -(-n // 20)
+        assert seen["members"] == n and seen["links"] <= n + blocks and n <= seen["across"] <= n + 2 * blocks**2
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert nearjoin.near_duplicates(df).collect() == [] and nearjoin.keep_first(df).collect() == []
