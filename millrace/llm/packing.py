@@ -16,7 +16,9 @@ only, and so packs the whole corpus at once instead of shard by shard:
 The plan is a list of sequence groups, whose number is bounded by the capacity.
 Pieces learn their place from their rank among the pieces of equal length: the
 rank is counted within salted slices of a length, so that a length that a third
-of all documents share is still dealt over many tasks.
+of all documents share is still dealt over many tasks. A length has at most
+MAX_SLICES of them, which grow with the corpus; so what is summed over slices is
+bounded.
 """
 
 from __future__ import annotations
@@ -34,8 +36,9 @@ from millrace.llm._common import map_rows, materialize, source_columns, texts
 from millrace.llm.tokenization import encoder, in_slices
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
-#: Pieces that one salted slice of a length holds on average, if the length has more.
-SLICE_ROWS = 1_000
+#: Pieces that one salted slice of a length holds on average, if the length has more, until it has MAX_SLICES.
+SLICE_ROWS = 64
+MAX_SLICES = 16_384
 
 
 # ---------------------------------------------------------------- the plan
@@ -226,9 +229,13 @@ def token_pieces(
 def pack_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with ``doc_id, piece, start, length, ids_crc32``.
 
-    Every row is placed; rows alike in all columns take different places. The
-    lengths are from 1 to ``capacity``. An empty table gives an empty result.
+    Every row is placed; rows alike in these columns take different places. The
+    lengths are from 1 to ``capacity``. Nulls in the other columns, and further
+    columns, whatever their names, are carried along; only ``sequence_id`` and
+    ``offset`` must not be there yet. An empty table gives an empty result.
     """
+    if {"sequence_id", "offset"} & set(pieces.columns):
+        raise ValueError("the pieces have places already")
     spark = pieces.sparkSession
     pieces = materialize(pieces, "pieces")
     # at most one row for each length up to the capacity
@@ -237,25 +244,28 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     for row in totals:
         counts[row.length] = row.n
     spots = placements(plan_packing(counts, capacity))
-    spot = spark.createDataFrame(spots, "length int, low long, high long, sequence long, fit long, base long")
-    slices = spark.createDataFrame([(r.length, 1 + r.n // SLICE_ROWS) for r in totals], "length int, slices long")
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.col("slices"))
-    salted = pieces.join(F.broadcast(slices), "length").withColumn("salt", salt)  # a row for each length
+    spot = spark.createDataFrame(spots, "spot_length int, low long, high long, sequence long, fit long, base long")
+    slices = [(r.length, min(MAX_SLICES, 1 + r.n // SLICE_ROWS)) for r in totals]
+    slices = spark.createDataFrame(slices, "slice_length int, slices long")
+    keys = ["doc_id", "piece", "start", "ids_crc32"]
+    order = F.struct(*keys).alias("order")
+    rows = pieces.select(F.struct(*(F.col(f"`{c}`") for c in pieces.columns)).alias("row"), "length", order, F.xxhash64(*keys).alias("mark"))
+    salted = rows.join(F.broadcast(slices), F.col("length") == F.col("slice_length"))  # a row for each length
+    salted = salted.select("row", "length", "order", F.pmod("mark", F.col("slices")).alias("salt"))
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    lower = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    lower = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)  # MAX_SLICES rows at most
     before = sizes.select("length", "salt", F.coalesce(F.sum("n").over(lower), F.lit(0)).alias("before"))
-    in_slice = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
+    in_slice = Window.partitionBy("length", "salt").orderBy("order")
     ranked = (
         salted.withColumn("rank", F.row_number().over(in_slice))
         .join(before, ["length", "salt"])
         .withColumn("place", F.col("before") + F.col("rank") - 1)
     )
     near = (F.col("place") >= F.col("low")) & (F.col("place") < F.col("high"))
-    spot = spot.withColumnRenamed("length", "spot_length")
     joined = ranked.join(F.broadcast(spot), (F.col("length") == F.col("spot_length")) & near)  # bounded by capacity
     step = F.col("place") - F.col("low")
     return joined.select(
-        *pieces.columns,
+        *(F.col("row").getField(c).alias(c) for c in pieces.columns),
         (F.col("sequence") + F.floor(step / F.col("fit"))).cast("long").alias("sequence_id"),
         (F.col("base") + F.pmod(step, F.col("fit")) * F.col("length")).cast("long").alias("offset"),
     )
@@ -287,7 +297,9 @@ def sequences(pieces: DataFrame, packed: DataFrame, capacity: int = 2048) -> Dat
     """The packed sequences themselves: ``sequence_id``, ``ids`` (32-bit little-endian), ``n_tokens``.
 
     ``pieces`` holds ``ids`` (see :func:`token_pieces`), ``packed`` the places.
-    A sequence has at most ``capacity`` pieces, so a group is bounded.
+    A sequence has at most ``capacity`` pieces, so a group is bounded. Null ids
+    match, rows alike take one place each, pieces without a place and an empty
+    table give nothing.
     """
     del capacity
     keys = ["doc_id", "piece", "start", "length", "ids_crc32"]

@@ -108,6 +108,20 @@ def test_sequences_hold_the_ids(spark):
     assert all(len(r.ids) == 4 * r.n_tokens for r in rows)
 
 
+def test_names_that_clash_and_alike_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_SLICES", 4)
+    rows = [(None, 0, 0, 1 + i % 5, 7, i, "x", i, i, i) for i in range(500)] + [(1, 0, 0, 3, 7, 0, "x", 0, 0, 0)] * 400
+    schema = "doc_id long, piece int, start long, length int, ids_crc32 long, salt int, before string, rank int, place int, slices int"
+    out = packing.pack_pieces(spark.createDataFrame(rows, schema), 16)
+    assert out.columns[5:10] == ["salt", "before", "rank", "place", "slices"]
+    got = out.collect()
+    assert sorted(map(str, (tuple(r)[:10] for r in got))) == sorted(map(str, rows))
+    spots = {(r.sequence_id, r.offset + k) for r in got for k in range(r.length)}
+    assert len(spots) == sum(r[3] for r in rows) and max(o for _, o in spots) < 16
+    with pytest.raises(ValueError):
+        packing.pack_pieces(out, 16)
+
+
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], SCHEMA), PATH).collect() == []
 
