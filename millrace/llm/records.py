@@ -37,7 +37,12 @@ from millrace.llm.tokenization import encoder, in_slices
 _HEAD = "<qBB"
 _HEAD_SIZE = struct.calcsize(_HEAD)
 INDEX = np.dtype([("offset", "<u8"), ("length", "<u8"), ("before", "<u8"), ("n_ids", "<u8")])
-MANIFEST = "shard int, path string, records long, ids long, bytes long"
+MANIFEST = "task int, part int, path string, records long, ids long, bytes long"
+#: A task begins another shard after so many bytes; a reader's task takes about so many.
+SHARD_BYTES = 256 << 20
+RANGE_BYTES = 32 << 20
+#: Index entries that a reader holds at a time.
+INDEX_ROWS = 1 << 16
 #: Bytes of the blocks whose checksums are computed side by side.
 BLOCK = 512
 
@@ -136,6 +141,32 @@ def unframe(data: bytes, entries: np.ndarray, base: int = 0) -> list[bytes]:
     return out
 
 
+class _Shard:
+    """A shard that is being written, and its index beside it."""
+
+    def __init__(self, path: str):
+        self.path = path
+        fs, place = store(path)
+        fs.create_dir(place.rsplit("/", 1)[0], recursive=True)
+        self.data, self.index = fs.open_output_stream(place), fs.open_output_stream(f"{place}.index")
+        self.records = self.ids = self.bytes = 0
+
+    def add(self, records: list[bytes], width: int) -> None:
+        sizes = np.array([len(r) for r in records], np.int64)
+        n = (sizes - _HEAD_SIZE) // width
+        entries = np.zeros(len(records), INDEX)
+        entries["offset"] = self.bytes + np.append(0, np.cumsum(sizes + 16)[:-1])
+        entries["length"], entries["n_ids"] = sizes, n
+        entries["before"] = self.ids + np.append(0, np.cumsum(n)[:-1])
+        self.data.write(frame(records))
+        self.index.write(entries.tobytes())
+        self.records, self.ids, self.bytes = self.records + len(records), self.ids + int(n.sum()), self.bytes + int((sizes + 16).sum())
+
+    def close(self) -> None:
+        self.data.close()
+        self.index.close()
+
+
 def write_records(
     df: DataFrame,
     tokenizer_path: str,
@@ -143,13 +174,19 @@ def write_records(
     id_col: str = "doc_id",
     text_col: str = "text",
     path: str | None = None,
+    shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """Tokenize every text and write its ids; returns the manifest, one row a shard.
 
-    The shards, one after the other, hold the documents in ascending order of
-    id (null first; equal ids by a hash of the text, so that one id with very
-    many rows is dealt over several shards). The manifest is itself stored in
-    the shared folder, so that reading it writes nothing again.
+    The shards, one after the other by ``task`` and ``part``, hold the documents
+    in ascending order of id (null first; equal ids by a hash of the text, so
+    that one id with very many rows is dealt over several shards). The manifest
+    is itself stored in the shared folder, so that reading it writes nothing
+    again. Without ``path`` the shards lie there too, and go with the session.
+
+    * Null and empty texts: a record that holds the end id.
+    * Very long texts: one record. Repeated rows: a record each.
+    * An empty table: an empty manifest. Further columns are not read.
     """
     spark = df.sparkSession
     path = path or shared_dir(spark, "records")
@@ -159,80 +196,96 @@ def write_records(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, context = encoder(tokenizer_path), TaskContext.get()
-        fs, folder = store(path)
-        fs.create_dir(folder, recursive=True)
-        name = f"shard-{context.partitionId():06d}-{context.taskAttemptId()}.records"
         end = np.array([end_id], model.dtype).tobytes()
-        width, entries, at, before = model.dtype.itemsize, [], 0, 0
-        with fs.open_output_stream(f"{folder}/{name}") as out:
-            for batch in sliced(batches):
-                docs, column = batch.column("id").to_pylist(), texts(batch.column("text"))
-                for part in in_slices(column):
-                    records = [
-                        struct.pack(_HEAD, doc or 0, doc is not None, width) + ids + end
-                        for doc, ids in zip(docs[part], model.encode(column[part]), strict=True)
-                    ]
-                    for r in records:
-                        n = (len(r) - _HEAD_SIZE) // width
-                        entries.append((at, len(r), before, n))
-                        at, before = at + len(r) + 16, before + n
-                    out.write(frame(records))
-        with fs.open_output_stream(f"{folder}/{name}.index") as out:
-            out.write(np.array(entries, INDEX).tobytes())
-        row = RowBuffer(schema)
-        row.add((context.partitionId(), f"{path}/{name}", len(entries), before, at))
-        yield row.take()
+        width, parts, shard, manifest = model.dtype.itemsize, 0, None, RowBuffer(schema)
+
+        def close() -> None:
+            shard.close()
+            manifest.add((context.partitionId(), parts, shard.path, shard.records, shard.ids, shard.bytes))
+
+        for batch in sliced(batches):
+            docs, column = batch.column("id").to_pylist(), texts(batch.column("text"))
+            for part in in_slices(column):
+                if shard and shard.bytes >= shard_bytes:
+                    close()
+                    shard, parts = None, parts + 1
+                shard = shard or _Shard(f"{path}/shard-{context.partitionId():06d}-{parts:04d}-{context.taskAttemptId()}.records")
+                records = [
+                    struct.pack(_HEAD, doc or 0, doc is not None, width) + ids + end
+                    for doc, ids in zip(docs[part], model.encode(column[part]), strict=True)
+                ]
+                shard.add(records, width)
+        if shard:
+            close()
+            yield manifest.take()
 
     return materialize(rows.mapInArrow(run, MANIFEST), "manifest")
 
 
-def read_records(manifest: DataFrame, chunk_bytes: int = 8 << 20, with_ids: bool = True) -> DataFrame:
+def _entries(fs, name: str, low: int, high: int) -> Iterator[np.ndarray]:
+    """Entries low..high-1 of a shard's index, a bounded number at a time."""
+    with fs.open_input_file(f"{name}.index") as f:
+        while low < high:
+            n = min(INDEX_ROWS, high - low)
+            f.seek(low * INDEX.itemsize)
+            yield np.frombuffer(f.read(n * INDEX.itemsize), INDEX)
+            low += n
+
+
+def read_records(manifest: DataFrame, chunk_bytes: int = 8 << 20, with_ids: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Read the shards back: ``doc_id, start, n_tokens, ids_crc32`` and ``ids`` (32-bit little-endian), checked.
 
-    ``start`` counts the ids of all documents before, over all shards. What
-    goes to the driver is one row a shard.
+    ``start`` counts the ids of all documents before, over all shards. A task
+    reads a range of a shard's records, which it finds by the index. What goes
+    to the driver is one row a shard. Null ids come back as null, repeated rows
+    each, an empty manifest gives no rows; damaged records raise ValueError.
     """
     spark = manifest.sparkSession
-    shards, total = [], 0
-    for row in sorted(manifest.collect(), key=lambda r: r.shard):
-        if row.records:
-            shards.append((row.path, total))
-            total += row.ids
-    # one shard a task
-    frame_ = spark.createDataFrame(shards, "path string, start long").repartition(max(1, len(shards)))
+    ranges, total = [], 0
+    for row in sorted(manifest.collect(), key=lambda r: (r.task, r.part)):
+        pieces = max(1, min(row.records, -(-row.bytes // range_bytes)))
+        edges = [row.records * k // pieces for k in range(pieces + 1)]
+        ranges += [(row.path, total, a, b) for a, b in zip(edges, edges[1:], strict=False) if a < b]
+        total += row.ids
+    # one range a task
+    dealt = spark.createDataFrame(ranges, "path string, start long, low long, high long").repartition(max(1, len(ranges)))
 
     def run(batch: pa.RecordBatch):
-        for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
+        for path, start, first, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             fs, name = store(path)
-            with fs.open_input_stream(f"{name}.index") as f:
-                index = np.frombuffer(f.read(), INDEX)
             with fs.open_input_file(name) as f:
-                low = 0
-                while low < len(index):
-                    base = int(index["offset"][low])
-                    high = max(low + 1, int(np.searchsorted(index["offset"], base + chunk_bytes)))
-                    part = index[low:high]
-                    size = int(part["offset"][-1] + part["length"][-1]) + 16 - base
-                    f.seek(base)
-                    for entry, data in zip(part, unframe(f.read(size), part, base), strict=True):
-                        doc, known, width = struct.unpack_from(_HEAD, data)
-                        ids = np.frombuffer(data, f"<u{width}", offset=_HEAD_SIZE).astype("<u4").tobytes()
-                        row = (doc if known else None, start + int(entry["before"]), int(entry["n_ids"]), zlib.crc32(ids))
-                        yield (*row, ids) if with_ids else row, 32 + len(ids) * with_ids
-                    low = high
-
-    return map_rows(frame_, run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+                for index in _entries(fs, name, first, end):
+                    low = 0
+                    while low < len(index):
+                        base = int(index["offset"][low])
+                        high = max(low + 1, int(np.searchsorted(index["offset"], base + chunk_bytes)))
+                        part = index[low:high]
+                        size = int(part["offset"][-1] + part["length"][-1]) + 16 - base
+                        f.seek(base)
+                        for entry, data in zip(part, unframe(f.read(size), part, base), strict=True):
+                            doc, known, width = struct.unpack_from(_HEAD, data)
+                            ids = np.frombuffer(data, f"<u{width}", offset=_HEAD_SIZE).astype("<u4").tobytes()
+                            row = (doc if known else None, start + int(entry["before"]), int(entry["n_ids"]), zlib.crc32(ids))
+                            yield (*row, ids) if with_ids else row, 32 + len(ids) * with_ids
+                        low = high
+
+    return map_rows(dealt, run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def read_at(path: str, positions: list[int]) -> list[np.ndarray]:
-    """The ids of single records of a shard, by their position: a shuffled read."""
+    """The ids of single records of a shard, by their position: a shuffled read, of the index as well.
+
+    A position that the shard doesn't have raises IndexError.
+    """
     fs, name = store(path)
-    with fs.open_input_stream(f"{name}.index") as f:
-        index = np.frombuffer(f.read(), INDEX)
     out = []
-    with fs.open_input_file(name) as f:
+    with fs.open_input_file(name) as f, fs.open_input_file(f"{name}.index") as index:
+        n = index.size() // INDEX.itemsize
         for k in positions:
-            part = index[k : k + 1]
+            if not 0 <= k < n:
+                raise IndexError(f"no record {k}")
+            index.seek(k * INDEX.itemsize)
+            part = np.frombuffer(index.read(INDEX.itemsize), INDEX)
             f.seek(int(part["offset"][0]))
             data = unframe(f.read(int(part["length"][0]) + 16), part, int(part["offset"][0]))[0]
             out.append(np.frombuffer(data, f"<u{struct.unpack_from(_HEAD, data)[2]}", offset=_HEAD_SIZE).astype("<u4"))

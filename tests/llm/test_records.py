@@ -66,5 +66,28 @@ def test_shuffled_read(spark):
         assert tuple(got.tolist()) in all_ids
 
 
+def test_shards_roll_and_ranges_split(spark, monkeypatch):
+    monkeypatch.setattr(records, "INDEX_ROWS", 7)
+    df = spark.createDataFrame([(i, f"text number {i} " * (i % 9)) for i in range(400)], "doc_id long, text string").coalesce(2)
+    manifest = records.write_records(df, PATH, shard_bytes=4000)
+    # slices of texts are written whole; a task begins a new shard behind one that is full
+    assert manifest.agg({"records": "sum"}).first()[0] == 400
+    want = sorted(map(tuple, records.read_records(manifest, with_ids=False).collect()), key=lambda r: r[1])
+    small = records.read_records(manifest, chunk_bytes=100, with_ids=False, range_bytes=500)
+    assert small.rdd.getNumPartitions() > 10
+    assert sorted(map(tuple, small.collect()), key=lambda r: r[1]) == want and [r[0] for r in want] == list(range(400))
+    shard = manifest.collect()[0]
+    with pytest.raises(IndexError):
+        records.read_at(shard.path, [shard.records])
+
+
+def test_special_tokens(spark):
+    df = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "<|STARTOFTEXT|>")], "doc_id long, text string")
+    plain = Tokenizer.from_file(PATH)
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in records.read_records(records.write_records(df, PATH)).collect()}
+    want = {d: [*plain.encode(t, add_special_tokens=False).ids, 1] for d, t in ((1, "a <|endoftext|> b"), (2, "<|STARTOFTEXT|>"))}
+    assert got == want and 49407 in want[1] and 49406 not in want[2]
+
+
 def test_empty_table(spark):
     assert records.round_trip(spark, spark.createDataFrame([], SCHEMA), PATH).collect() == []
