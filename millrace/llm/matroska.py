@@ -28,6 +28,7 @@ TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x2AD7B1, 0x4489, 0x4D80, 0
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, FLAG_LACING = 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x9C
 DEFAULT_DURATION, AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0x23E383, 0xE1, 0xB5, 0x9F, 0x6264
 TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE_BLOCK = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
+CONTENT_ENCODINGS = 0x6D80
 CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 #: Elements that may follow a cluster or segment of unknown size, and so end a cluster.
 TOP_LEVEL = {0x114D9B74, INFO, TRACKS, CLUSTER, CUES, 0x1941A469, 0x1043A770, 0x1254C367, SEGMENT, EBML}
@@ -39,7 +40,7 @@ BLOCKS_A_CLUSTER = 64
 
 PACKETS = (
     "packet long, track long, timestamp_ns long, duration_ns long, keyframe boolean, lacing string, "
-    "cluster long, byte_offset long, byte_length long"
+    "cluster long, byte_offset long, byte_length long, cued boolean"
 )
 
 
@@ -86,11 +87,17 @@ class Media:
 
     timestamp_scale: int = 1_000_000
     tracks: dict[int, dict] = field(default_factory=dict)
-    packets: list[tuple] = field(default_factory=list)  # columns of PACKETS without the first
+    packets: list[tuple] = field(default_factory=list)  # columns of PACKETS without the first and the last
     cues: list[tuple[int, int, int]] = field(default_factory=list)  # time, track, cluster position
     clusters: list[int] = field(default_factory=list)  # positions in the segment
 
 
+    def cued(self) -> list[bool]:
+        """For each packet, whether a cue leads to it: same track, time and cluster."""
+        spots = {(track, time * self.timestamp_scale, position) for time, track, position in self.cues}
+        return [(p[0], p[1], self.clusters[p[5]]) in spots for p in self.packets]
+
+
 def _lace_sizes(data: bytes, at: int, stop: int, kind: int) -> tuple[list[int], int]:
     """Sizes of the frames of a laced block, and where the first starts."""
     if at >= stop:
@@ -174,6 +181,8 @@ def _tracks(data: bytes, start: int, stop: int, media: Media) -> None:
                 entry["frame_ns"] = _uint(data, x, y)
             elif n in (TRACK_NUMBER, TRACK_TYPE):
                 entry["number" if n == TRACK_NUMBER else "type"] = _uint(data, x, y)
+            elif n == CONTENT_ENCODINGS:
+                raise MatroskaError("compressed or encrypted track: its byte ranges aren't its frames")
             elif n == AUDIO:
                 for m, p, q, _ in elements(data, x, y):
                     if m == BIT_DEPTH:
@@ -366,19 +375,22 @@ def media_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def packet_table(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """One row per packet: the id, the columns of PACKETS, and ``error``.
 
-    A null or damaged file gives one row that holds its error and no packet;
-    a file without packets gives no row.
+    ``cued`` marks the packets that the file's cues lead to. A null, empty or
+    damaged file, and one with compressed or encrypted tracks, gives one row
+    that holds its error and no packet; a file without packets gives no row.
+    Null ids are kept, repeated rows give their packets each, an empty table
+    gives none.
     """
 
     def run(batch: pa.RecordBatch):
         for doc, data in zip(batch.column("id").to_pylist(), batch.column("media").to_pylist(), strict=True):
             try:
-                packets = parse(data or b"").packets
+                media = parse(data or b"")
             except MatroskaError as e:
-                yield (doc, *[None] * 9, str(e)), 100
+                yield (doc, *[None] * 10, str(e)), 100
             else:
-                for k, p in enumerate(packets):
-                    yield (doc, k, *p, None), 100
+                for k, (p, cued) in enumerate(zip(media.packets, media.cued(), strict=True)):
+                    yield (doc, k, *p, cued, None), 100
 
     return map_rows(source_columns(df, id=id_col, media=media_col), run, f"{id_col} long, {PACKETS}, error string")
 

@@ -224,8 +224,11 @@ def mixed_copies(
 ) -> DataFrame:
     """The rows of ``df`` themselves, each as often as the mix takes it.
 
-    Rows alike in id, text and source share what they are given as evenly as
-    whole numbers allow.
+    * Null and empty texts have no words and aren't taken. Very long texts count whole.
+    * A null source is a source, the last in order. Null ids are kept.
+    * Rows alike in id, text and source share what they are given as evenly as
+      whole numbers allow.
+    * An empty table gives no rows. Further columns are carried along.
     """
     keys = ["mix_id", "mix_tie", "mix_source"]
     mixed = mix_rows(sizes_of(df, id_col, text_col, source_col), weights, share, seed)
