@@ -6,12 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from millrace import plans
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-LLM = ("op", "pipeline")  # tested by themselves
-QUERIES = {k: v for k, v in __spark_entry__.queries().items() if not k.startswith(LLM)}
-SQL = __spark_entry__.oracle_sql()
+QUERIES, SQL = plans.QUERIES, plans.ORACLE_SQL  # the training-data operators are tested by themselves
 
 
 @pytest.fixture(scope="module")
