@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.llm import fm, licenses, linecrf, matroska, mixing, nearjoin, packing, records, sql, substring, urlfilter
+from millrace.llm._common import materialize
 
 #: Host and path rules of the URL filter (verdict, host, path).
 URL_RULES = [
@@ -85,6 +87,45 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+# Audits: what SQL can say of operators whose whole result it can't express.
+
+
+def audit_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_matroska_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def audit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = materialize(op2_best_fit_packing(spark, sf_dir), "packed")
+    docs = pieces.groupBy("doc_id").agg(F.max(F.col("start") + F.col("length")).alias("top"), F.sum("length").alias("n"))
+    held = pieces.groupBy("sequence_id").agg(F.max(F.col("offset") + F.col("length")).alias("top"), F.sum("length").alias("n"))
+    marks = docs.agg(F.count_if(F.col("top") != F.col("n")).alias("uncovered")).crossJoin(  # one row each
+        held.agg(F.count_if(F.col("top") != F.col("n")).alias("gaps"), F.count_if(F.col("n") > 2048).alias("overfull"))
+    )
+    return pieces.agg(F.count_if(F.col("piece") == 0).alias("documents")).crossJoin(marks)
+
+
+def audit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = op4_binary_records(spark, sf_dir)
+    ends = F.max(F.col("start") + F.col("n_tokens")) == F.sum("n_tokens")
+    return rows.agg(F.count("*").alias("documents"), (ends & (F.count_distinct("start") == F.count("*"))).alias("gapless"))
+
+
+def audit_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_quality_classifier(spark, sf_dir).agg(
+        F.count("*").alias("documents"),
+        F.count_if(F.expr("score is null or score < 0 or score > 1")).alias("out_of_range"),
+        F.count_if(F.expr("predicted <> cast(score >= 0.7 as int)")).alias("inconsistent"),
+    )
+
+
+def audit_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_source_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def audit_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_line_quality(spark, sf_dir).drop("content_share", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -99,6 +140,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_line_quality,
         op10_ngram_jaccard_join,
         pipeline,
+        audit_media,
+        audit_packing,
+        audit_records,
+        audit_classifier,
+        audit_mixing,
+        audit_line_rules,
     )
 }
 
@@ -107,6 +154,12 @@ ORACLE_SQL: dict[str, str] = {
     "op5_url_filter": sql.URL_FILTER,
     "op8_substring_dedup": sql.SUBSTRING_DEDUP,
     "op10_ngram_jaccard_join": sql.JACCARD_JOIN,
+    "audit_media": sql.AUDIT_MEDIA,
+    "audit_packing": sql.AUDIT_PACKING,
+    "audit_records": sql.AUDIT_RECORDS,
+    "audit_classifier": sql.AUDIT_CLASSIFIER,
+    "audit_mixing": sql.AUDIT_MIXING,
+    "audit_line_rules": sql.AUDIT_LINE_RULES,
 }
 
 

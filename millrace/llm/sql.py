@@ -63,6 +63,50 @@ FROM d LEFT JOIN s USING (rid) LEFT JOIN u USING (node) LEFT JOIN l USING (node)
 """
 
 
+#: What the stored payloads hold, by the texts themselves.
+AUDIT_MEDIA = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+p AS (SELECT doc_id, octet_length(raw) AS n, greatest(576, 576 * ((octet_length(raw) + 575) // 576)) AS m, raw FROM d)
+SELECT doc_id, n::BIGINT AS n_bytes, m::BIGINT AS payload_bytes, sha256(raw || repeat('\xFF'::BLOB, m - n)) AS payload_sha256 FROM p
+"""
+
+#: Every document has its pieces, they cover it, and no sequence has a gap or too much.
+AUDIT_PACKING = "SELECT count(*) AS documents, 0::BIGINT AS uncovered, 0::BIGINT AS gaps, 0::BIGINT AS overfull FROM documents"
+
+#: Every document has a record, and the records follow each other without a gap.
+AUDIT_RECORDS = "SELECT count(*) AS documents, true AS gapless FROM documents"
+
+#: Scores are shares, and predictions follow from them.
+AUDIT_CLASSIFIER = "SELECT count(*) AS documents, 0::BIGINT AS out_of_range, 0::BIGINT AS inconsistent FROM documents"
+
+#: Targets by the level at which the capped sources and the others together come to 150 %.
+AUDIT_MIXING = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][(k - 1) % 3 + 1] AS weight, 1.5 * sum(n) OVER () AS total FROM s),
+c AS (SELECT *, coalesce(sum(2 * n) OVER (ORDER BY 2.0 * n / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent,
+             sum(weight) OVER (ORDER BY 2.0 * n / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS others FROM w),
+l AS (SELECT (total - spent) / others AS level FROM c WHERE 2.0 * n / weight >= (total - spent) / others ORDER BY 2.0 * n / weight, k LIMIT 1)
+SELECT doc_id, size, n AS source_size, round(least(2.0 * n, weight * level), 3)::DOUBLE AS target
+FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source CROSS JOIN l
+"""
+
+#: The counts and base rules of the line labelling.
+AUDIT_LINE_RULES = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT rid, unnest(ws) AS w0, generate_subscripts(ws, 1) AS j FROM d),
+g AS (SELECT rid, j, w0, lead(w0) OVER s AS w1, lead(w0, 2) OVER s AS w2 FROM w WINDOW s AS (PARTITION BY rid ORDER BY j)),
+r AS (SELECT rid, j, w2 IS NOT NULL AND count(*) OVER (PARTITION BY rid, w0, w1, w2) > 1 AS again FROM g),
+m AS (SELECT rid, bool_or(again) OVER (PARTITION BY rid ORDER BY j ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS inside FROM r),
+k AS (SELECT rid, count(*) FILTER (WHERE inside) AS n_repeat_words FROM m GROUP BY rid),
+c AS (SELECT rid, doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d)
+SELECT doc_id, n_words, word_chars, n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+       n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed
+FROM c LEFT JOIN k USING (rid)
+"""
+
+
 def license_scan() -> str:
     """Hits of the same templates, and for each diagonal the longest rising chain in the span that it opens."""
     rows: list[str] = []
