@@ -453,13 +453,12 @@ def near_duplicates(
         across = materialize(verify_across(found, folder, threshold, tolerance), "across")
         found = found.unionByName(across)
     found = found.filter("node is not null")
-    links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
-    labels = found.filter("whole").select("node", F.col("root").alias("label"))
+    per_node = found.groupBy("node").agg(F.sum("links").alias("n_links"), F.max(F.when(F.col("whole"), F.col("root"))).alias("label"))
+    slim = nodes.select("s1", "s2", "node", "least_id", "rep", "n_copies").join(per_node, "node", "left")
     cut = found.filter("not whole and node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     if not cut.isEmpty():
-        labels = labels.unionAll(connected_components(cut).select("node", F.col("component").alias("label")))
-    slim = nodes.select("s1", "s2", "node", "least_id", "rep", "n_copies")
-    slim = slim.join(links, "node", "left").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        slim = slim.join(connected_components(cut), "node", "left").withColumn("label", F.coalesce("component", "label")).drop("component")
+    slim = slim.withColumn("label", F.coalesce("label", "node"))
     slim = materialize(slim, "labels")
     classes = slim.groupBy("label").agg(F.min("least_id").alias("class_id"), F.min("rep").alias("class_rep"), F.count("*").alias("n"))
     known = join_counted(slim, classes, ["label"], n_nodes).select("s1", "s2", "class_id", "class_rep", "n_copies", "n_links")
