@@ -205,12 +205,6 @@ def join_asof(t: Tables) -> DataFrame:
     )
 
 
-@query("SELECT n_nationkey, top FROM nation, LATERAL (SELECT max(c_acctbal) AS top FROM customer WHERE c_nationkey = n_nationkey)")
-def join_lateral(t: Tables) -> DataFrame:
-    best = t.customer.groupBy("c_nationkey").agg(F.max("c_acctbal").alias("top"))
-    return t.nation.join(best, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("n_nationkey", "top")
-
-
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem l WHERE l_quantity > "
        "(SELECT 1.5 * avg(l_quantity) FROM lineitem m WHERE m.l_partkey = l.l_partkey)")
 def subquery_correlated(t: Tables) -> DataFrame:
@@ -328,15 +322,6 @@ def agg_crosstab(t: Tables) -> DataFrame:
     return relational.pivot(table, ["p_brand"], "size_class", ["small", "big"], F.count(F.lit(1))).na.fill(0)
 
 
-@query()
-def agg_sketches(t: Tables) -> DataFrame:
-    return t.lineitem.agg(
-        F.approx_count_distinct("l_partkey", 0.01).alias("parts"),
-        F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey")).alias("parts_hll"),
-        F.percentile_approx("l_quantity", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias("quartiles"),
-    )
-
-
 # ---------------------------------------------------------------- windows
 
 

@@ -34,7 +34,7 @@ def udf_arrow(t: Tables) -> DataFrame:
 
 @query("SELECT p_partkey, length(p_name) % 7 AS m FROM part")
 def udf_scalar(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", F.udf(lambda s: len(s) % 7, "long", useArrow=True)("p_name").alias("m"))
+    return t.part.select("p_partkey", F.udf(lambda s: None if s is None else len(s) % 7, "long", useArrow=True)("p_name").alias("m"))
 
 
 @query("SELECT p_brand, round(avg(p_retailprice), 6) AS mean FROM part GROUP BY ALL")
@@ -59,6 +59,29 @@ def udf_table(t: Tables) -> DataFrame:
     return t.spark.sql("SELECT n_nationkey, part FROM nation, LATERAL parts(n_regionkey)")
 
 
+@query("SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders WHERE o_totalprice > 300000")
+def udf_map_arrow(t: Tables) -> DataFrame:
+    def dear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.filter(pc.greater(batch.column("o_totalprice"), 300_000))
+            yield pa.RecordBatch.from_arrays([rows.column("o_orderkey"), pc.multiply(rows.column("o_totalprice"), 2.0)], names=["o_orderkey", "twice"])
+
+    return t.orders.select("o_orderkey", "o_totalprice").mapInArrow(dear, "o_orderkey long, twice double")
+
+
+@query("SELECT i AS part FROM generate_series(0, 24) g(i)")
+def udf_table_arrow(t: Tables) -> DataFrame:
+    """On arguments of its own: Spark has no lateral join with a table function in Arrow."""
+
+    @F.arrow_udtf(returnType="part: long")
+    class ArrowParts:
+        def eval(self, n: pa.Array) -> Iterator[pa.Table]:
+            for k in n.to_pylist():
+                yield pa.table({"part": pa.array(range(k), pa.int64())})
+
+    return ArrowParts(F.lit(25))
+
+
 @query("SELECT s_suppkey, rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC) AS place FROM supplier")
 def udf_grouped_map(t: Tables) -> DataFrame:
     def rank(frame: pd.DataFrame) -> pd.DataFrame:
