@@ -109,3 +109,10 @@ def stream_late_data(t: Tables) -> DataFrame:
     stream = windows.file_stream(t.spark, "parquet", f"{folder}/*", "ts timestamp", files_per_trigger=1)
     out = windows.tumbling(windows.with_event_time(stream, "ts", "1 hour"), "ts", "1 hour", [], F.count("*").alias("n"))
     return _start(_run(t, out, "append"))
+
+
+@query("SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def stream_transform_with_state(t: Tables) -> DataFrame:
+    with windows.rocksdb_state(t.spark):
+        updates = _run(t, windows.kept_totals(_events(t), "user_id", "value"), "update")
+    return updates.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 2).alias("total"))

@@ -59,3 +59,19 @@ def vector_top_k(t: Tables) -> DataFrame:
     scored = pairs.select("query_id", "vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("probe")), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("place", F.row_number().over(order).cast("long")).filter("place <= 10").select("query_id", "vec_id", "place")
+
+
+@query("SELECT true AS near, true AS recalled")
+def vector_lsh(t: Tables) -> DataFrame:
+    """Pairs of queries and vectors closer than 1.15, by random projections: all are that close, and 9 of 10 are found."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    rows = t.embeddings.select("vec_id", "embedding", array_to_vector("embedding").alias("v"))
+    queries = rows.filter("vec_id % 100 = 0")
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="hashes", bucketLength=0.3, numHashTables=10, seed=7).fit(rows)
+    found = model.approxSimilarityJoin(queries, rows, 1.15, distCol="distance").select("datasetA.vec_id", "distance")
+    probes = queries.select(F.col("embedding").alias("probe"))
+    exact = t.embeddings.join(probes).filter(vectors.l2_distance(F.col("embedding"), F.col("probe")) < 1.15)
+    seen = found.agg(F.count("*").alias("n"), F.coalesce(F.bool_and(F.col("distance") < 1.15), F.lit(True)).alias("near"))
+    return seen.crossJoin(exact.agg(F.count("*").alias("all"))).select("near", (10 * F.col("n") >= 9 * F.col("all")).alias("recalled"))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
@@ -72,6 +74,45 @@ def running_totals(df: DataFrame, key: str, value: str, ts: str | None = None, i
     )
 
 
+class _Totals(StatefulProcessor):
+    """Rows and sum of each key so far, as a value in the state store; dropped after ``ttl_ms`` without a row, if that is set."""
+
+    def __init__(self, key: str, value: str, ttl_ms: int | None):
+        self.key, self.value, self.ttl_ms = key, value, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("totals", "n long, total double", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        n, total = self.state.get() if self.state.exists() else (0, 0.0)
+        for frame in rows:
+            n, total = n + len(frame), total + float(frame[self.value].sum())
+        self.state.update((n, total))
+        yield pd.DataFrame({self.key: [key[0]], "n": [n], "total": [total]})
+
+    def close(self) -> None:
+        pass
+
+
+def kept_totals(df: DataFrame, key: str, value: str, ttl_ms: int | None = None) -> DataFrame:
+    """As :func:`running_totals`, by ``transformWithState``, whose state can expire by itself. Needs :func:`rocksdb_state`."""
+    kind = df.schema[key].dataType.simpleString()
+    mode = "ProcessingTime" if ttl_ms else "None"
+    return df.groupBy(key).transformWithStateInPandas(_Totals(key, value, ttl_ms), f"{key} {kind}, n long, total double", "Update", mode)
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start meanwhile keep their state in RocksDB, on the executors' disks, instead of their heaps."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def _run(writer, checkpoint: str) -> None:
     writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

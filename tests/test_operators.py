@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import statistics, text, vectors
 from millrace.operators import joins, relational
+from millrace.plans import QUERIES
 from millrace.session import Tables, get_session
 from millrace.sources import files
 from millrace.storage import release, shared_dir
@@ -158,3 +159,45 @@ def test_release(spark, tmp_path):
     release(spark, path)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+PLANS = {
+    "join_sort_merge": "SortMergeJoin",
+    "join_shuffle_hash": "ShuffledHashJoin",
+    "join_broadcast_hash": "BroadcastHashJoin",
+    "join_nested_loop": "BroadcastNestedLoopJoin",
+    "join_cartesian": "CartesianProduct",
+    "top_k_per_user": "WindowGroupLimit",
+    "vector_top_k": "WindowGroupLimit",
+    "sort_limit_offset": "TakeOrderedAndProject",
+    "shipping_priority": "TakeOrderedAndProject",
+    "subquery_exists": "LeftAnti",
+    "join_semi": "LeftSemi",
+    "join_anti": "LeftAnti",
+    "udf_arrow": "ArrowEvalPython",
+}
+
+
+@pytest.mark.parametrize("name", sorted(PLANS))
+def test_strategy(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert PLANS[name] in plan
+    if name not in ("join_nested_loop", "join_cartesian", "vector_top_k"):
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_aggregates_combine_before_the_shuffle(spark):
+    for name in ("pricing_summary", "agg_statistics", "agg_min_max", "latest_event"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Aggregate(") >= 2
+
+
+def test_scans_read_few_columns(spark):
+    plan = QUERIES["pricing_summary"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "l_comment" not in plan and "l_orderkey" not in plan and "PushedFilters: [IsNotNull(l_shipdate), LessThanOrEqual(l_shipdate" in plan
+
+
+def test_udf_on_nulls(spark, tmp_path):
+    rows = spark.createDataFrame([(1, None), (2, "abc")], "p_partkey long, p_name string")
+    rows.write.parquet(f"{tmp_path}/part.parquet")
+    assert sorted(map(tuple, QUERIES["udf_scalar"](spark, str(tmp_path)).collect())) == [(1, None), (2, 3)]
