@@ -243,12 +243,15 @@ def mixed_copies(
         F.col(f"`{source_col}`").cast("string").alias("mix_source"),
     )
     on = [body[b].eqNullSafe(given[g]) for b, g in zip(keys, ("g_id", "g_tie", "g_source"), strict=True)]
+    joined = body.join(given.filter("g_copies > 0"), on)
+    # rows alike are rare; only they are numbered, which takes another shuffle
+    single = joined.filter("g_rows = 1").withColumn("times", F.col("g_copies"))
     order = Window.partitionBy("g_id", "g_tie", "g_source").orderBy("g_tie")
     n, rows = F.col("g_copies"), F.col("g_rows")
     each = F.floor(n / rows) + (F.row_number().over(order) <= F.pmod(n, rows)).cast("long")
+    alike = joined.filter("g_rows > 1").withColumn("times", each)
     return (
-        body.join(given.filter("g_copies > 0"), on)
-        .withColumn("times", each)
+        single.unionByName(alike)
         .filter("times > 0")
         .select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))
         .select(*(F.col("row").getField(c).alias(c) for c in columns))
