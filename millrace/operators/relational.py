@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,3 +43,34 @@ def sessionize(df: DataFrame, keys: list[str], ts: str, gap: str, name: str = "s
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:
     """Rows of each of ``bins`` equal steps; below and above in bins 0 and ``bins`` + 1."""
     return df.groupBy(F.width_bucket(F.col(column), F.lit(low), F.lit(high), F.lit(bins)).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def groups_frame(
+    df: DataFrame, agg: Callable[[Column], Column], value: str, name: str, keys: list[str], order: str, low: int, high: int
+) -> DataFrame:
+    """An aggregate over a GROUPS frame: ``low`` to ``high`` groups of equal ``order`` from the row's own, which is 0.
+
+    Groups are numbered by their dense rank, so the frame is a range of numbers.
+    ``agg`` is an aggregate function such as ``F.sum``. Nulls in ``order`` are a
+    group, the first.
+    """
+    rank = free_name("_group", df)
+    numbered = df.withColumn(rank, F.dense_rank().over(Window.partitionBy(*keys).orderBy(order)))
+    frame = Window.partitionBy(*keys).orderBy(rank).rangeBetween(low, high)
+    return numbered.withColumn(name, agg(F.col(value)).over(frame)).drop(rank)
+
+
+def sum_excluding(df: DataFrame, value: str, name: str, keys: list[str], order: str, exclude: str) -> DataFrame:
+    """The sum of ``value`` over a key without the current row, its group of equal ``order``, or its ties.
+
+    Null where nothing is left to add, as SQL has it. ``exclude``: "row", "group" or "ties".
+    """
+    whole, peers = Window.partitionBy(*keys), Window.partitionBy(*keys, order)
+    total, group = F.coalesce(F.sum(value).over(whole), F.lit(0)), F.coalesce(F.sum(value).over(peers), F.lit(0))
+    own, one = F.coalesce(F.col(value), F.lit(0)), F.col(value).isNotNull().cast("int")
+    n, m = F.count(value).over(whole), F.count(value).over(peers)
+    parts = {"row": (total - own, n - one), "group": (total - group, n - m), "ties": (total - group + own, n - m + one)}
+    if exclude not in parts:
+        raise ValueError("exclude is row, group or ties")
+    rest, left = parts[exclude]
+    return df.withColumn(name, F.when(left > 0, rest))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators import relational
 from millrace.plans.registry import query
 from millrace.session import Tables
 
@@ -88,6 +89,27 @@ def sort_within_partitions(t: Tables) -> DataFrame:
     return laid.select("p_partkey", F.row_number().over(order).cast("long").alias("place"))
 
 
+@query("SELECT p_partkey, sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_type GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW)::BIGINT AS near, "
+       "count(p_size) OVER (PARTITION BY p_brand ORDER BY p_type GROUPS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AS ahead FROM part")
+def window_groups(t: Tables) -> DataFrame:
+    """GROUPS frames, which Spark's SQL lacks, by the numbers of the groups."""
+    rows = relational.groups_frame(t.part, F.sum, "p_size", "near", ["p_brand"], "p_type", -1, 0)
+    return relational.groups_frame(rows, F.count, "p_size", "ahead", ["p_brand"], "p_type", 1, 2).select("p_partkey", "near", "ahead")
+
+
+@query(", ".join(
+    ["SELECT p_partkey"]
+    + [f"sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_type ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE {what})::BIGINT AS {name}"
+       for what, name in (("CURRENT ROW", "others"), ("GROUP", "apart"), ("TIES", "alone"))]
+) + " FROM part")
+def window_exclude(t: Tables) -> DataFrame:
+    """EXCLUDE, which Spark's SQL lacks, for sums over a whole key."""
+    rows = t.part
+    for name, kind in (("others", "row"), ("apart", "group"), ("alone", "ties")):
+        rows = relational.sum_excluding(rows, "p_size", name, ["p_brand"], "p_type", kind)
+    return rows.select("p_partkey", "others", "apart", "alone")
+
+
 @query("SELECT p_partkey, ascii(p_brand) AS a, base64(encode(p_brand)) AS b, lower(hex(p_brand)) AS h, ltrim(' ' || p_type) AS l, rpad(p_brand, 12, '.') AS r, "
        "url_encode(p_name) AS u, strlen(p_name) AS o FROM part")
 def scalar_encodings(t: Tables) -> DataFrame:

@@ -201,3 +201,24 @@ def test_udf_on_nulls(spark, tmp_path):
     rows = spark.createDataFrame([(1, None), (2, "abc")], "p_partkey long, p_name string")
     rows.write.parquet(f"{tmp_path}/part.parquet")
     assert sorted(map(tuple, QUERIES["udf_scalar"](spark, str(tmp_path)).collect())) == [(1, None), (2, 3)]
+
+
+def test_groups_and_exclude_with_nulls(spark):
+    rng = random.Random(6)
+    none = lambda x: None if rng.random() < 0.2 else x
+    rows = [(i, rng.choice("ab"), none(rng.randint(0, 5)), none(rng.randint(1, 9))) for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, k string, o int, v int")
+    out = relational.groups_frame(df, F.sum, "v", "near", ["k"], "o", -1, 1)
+    for kind in ("row", "group", "ties"):
+        out = relational.sum_excluding(out, "v", kind, ["k"], "o", kind)
+    total = lambda values: sum(values) if (values := [v for v in values if v is not None]) else None
+    for r in out.collect():
+        own = [x for x in rows if x[1] == r.k]
+        order = sorted({x[2] for x in own}, key=lambda o: (o is not None, o))
+        near = order[max(0, order.index(r.o) - 1) : order.index(r.o) + 2]
+        assert r.near == total(x[3] for x in own if x[2] in near)
+        assert r.row == total(x[3] for x in own if x[0] != r.i)
+        assert r.group == total(x[3] for x in own if x[2] != r.o)
+        assert r.ties == total(x[3] for x in own if x[2] != r.o or x[0] == r.i)
+    with pytest.raises(ValueError):
+        relational.sum_excluding(df, "v", "x", ["k"], "o", "all")
