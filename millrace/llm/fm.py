@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import NumericType, StringType
 
 from millrace.llm._common import drawn_within, frees_between_queries, map_rows, sliced, texts
 
@@ -124,7 +124,7 @@ def metadata_slots(values: dict[str, object]) -> list[int]:
     """A slot for each metadata column: the step of a number, a hash of any other value, one of its own for null."""
     out = []
     for name, value in values.items():
-        if isinstance(value, (int, float)) and not isinstance(value, bool):
+        if isinstance(value, (int, float)):
             value = f"step {_log_step(max(0.0, float(value)), 1e6)}" if value == value else None
         out.append(_word_slot(f"\0{name}\0{'null' if value is None else value}"))
     return out
@@ -236,18 +236,28 @@ def _expressions(docs: DataFrame, meta_cols: tuple[str, ...], **wanted: str) ->
     for k, column in enumerate(meta_cols):
         if column in docs.columns:
             kind = docs.schema[column].dataType
+            if not isinstance(kind, (NumericType, StringType)):
+                raise ValueError(f"metadata are numbers or strings: {column}")
             value = F.col(f"`{column}`")
-            out.append((value.cast("double") if isinstance(kind, NumericType) else value.cast("string")).alias(f"meta_{k}"))
+            out.append((value.cast("double") if isinstance(kind, NumericType) else value).alias(f"meta_{k}"))
         else:
             out.append(F.lit(None).cast("string").alias(f"meta_{k}"))
     return out
 
 
-def _vectors(batch: pa.RecordBatch, meta_cols: tuple[str, ...], text_col: str = "text"):
-    """Slots and values of the rows of a batch, one after the other."""
-    columns = [batch.column(f"meta_{k}").to_pylist() for k in range(len(meta_cols))]
-    for i, text in enumerate(texts(batch.column(text_col))):
-        yield featurize(text, {name: column[i] for name, column in zip(meta_cols, columns, strict=True)})
+def _plain(values: list) -> list:
+    """Numbers as floats, whatever their type."""
+    return [x if x is None or isinstance(x, str) else float(x) for x in values]
+
+
+def _vectors(column: pa.Array, meta_cols: tuple[str, ...], metadata: list[list]):
+    """Slots and values of texts and their metadata, one after the other."""
+    for i, text in enumerate(texts(column)):
+        yield featurize(text, {name: values[i] for name, values in zip(meta_cols, metadata, strict=True)})
+
+
+def _metadata(batch: pa.RecordBatch, meta_cols: tuple[str, ...]) -> list[list]:
+    return [batch.column(f"meta_{k}").to_pylist() for k in range(len(meta_cols))]
 
 
 def fit(
@@ -272,7 +282,7 @@ def fit(
 
     def features(batch: pa.RecordBatch):
         columns = (batch.column(c).to_pylist() for c in ("draw", "id", "label"))
-        for draw, doc, label, (slots, values) in zip(*columns, _vectors(batch, meta_cols), strict=True):
+        for draw, doc, label, (slots, values) in zip(*columns, _vectors(batch.column("text"), meta_cols, _metadata(batch, meta_cols)), strict=True):
             yield (draw, doc, label, 8 * len(slots), slots.astype("<u4").tobytes(), values.astype("<f4").tobytes()), 8 * len(slots)
 
     # an id with many rows gives no more than one of them: the sample stays bounded
@@ -304,7 +314,7 @@ def score_documents(
     def run(batch: pa.RecordBatch):
         for low in range(0, batch.num_rows, 64):
             part = batch.slice(low, 64)
-            scores = shared.value.scores(list(_vectors(part, meta_cols)))
+            scores = shared.value.scores(list(_vectors(part.column("text"), meta_cols, _metadata(part, meta_cols))))
             for doc, flag, score in zip(part.column("id").to_pylist(), part.column("held_out").to_pylist(), scores.tolist(), strict=True):
                 yield (doc, flag, score, int(score >= threshold)), 32
 
@@ -321,16 +331,17 @@ def accepted(
     repeated rows stay or go together; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = docs.columns
-    row = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")
-    wide = docs.select(row, *_expressions(docs, meta_cols, text=text_col))
+    _expressions(docs, meta_cols)  # looks at the types
+    at = docs.columns.index(text_col)
+    meta_at = [docs.columns.index(c) if c in docs.columns else None for c in meta_cols]
 
     def run(batches):
         for batch in sliced(batches):
             keep: list[bool] = []
             for low in range(0, batch.num_rows, 64):
-                keep += (shared.value.scores(list(_vectors(batch.slice(low, 64), meta_cols))) >= threshold).tolist()
-            yield batch.select(["row"]).filter(pa.array(keep, pa.bool_()))
+                part = batch.slice(low, 64)
+                columns = [[None] * part.num_rows if k is None else _plain(part.column(k).to_pylist()) for k in meta_at]
+                keep += (shared.value.scores(list(_vectors(part.column(at), meta_cols, columns))) >= threshold).tolist()
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    kept = wide.mapInArrow(run, wide.select("row").schema)
-    return kept.select(*(F.col("row").getField(c).alias(c) for c in columns))
+    return docs.mapInArrow(run, docs.schema)

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import fm
 
@@ -97,6 +98,10 @@ def test_metadata_counts(spark):
     known = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
     out = fm.score_documents(docs, fm.fit(docs, known)).collect()
     assert all(r.predicted == r.doc_id % 2 for r in out if r.doc_id is not None)
+    kept = fm.accepted(docs, fm.fit(docs, known)).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [r.doc_id for r in sorted(out, key=lambda r: r.doc_id or -1) if r.doc_id is not None and r.predicted]
+    with pytest.raises(ValueError):
+        fm.accepted(docs.withColumn("n_chars", F.lit(True)), fm.fit(docs, known))
     for cols in (("kind", "none"), ()):
         blind = fm.score_documents(docs, fm.fit(docs, known, meta_cols=cols), meta_cols=cols).collect()
         assert all(0.1 < r.score < 0.9 for r in blind if r.doc_id is not None)
