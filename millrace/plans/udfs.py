@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -41,7 +42,7 @@ def udf_scalar(t: Tables) -> DataFrame:
 def udf_aggregate(t: Tables) -> DataFrame:
     @F.pandas_udf("double")
     def mean(x: pd.Series) -> float:
-        return float(x.mean())
+        return math.fsum(x) / len(x)  # whatever the order of the rows
 
     return t.part.groupBy("p_brand").agg(mean("p_retailprice").alias("mean")).withColumn("mean", F.round("mean", 6))
 
