@@ -54,11 +54,17 @@ class ChunkEncoder:
     def __init__(self, path: str, memo_entries: int = MEMO_ENTRIES, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.tokenizer.encode_special_tokens = special_as_text
-        # a text that may hold an added token's string is encoded whole, by the library
+        def load(as_text: bool) -> Tokenizer:
+            found = Tokenizer.from_file(path)
+            found.no_truncation()
+            found.no_padding()
+            found.encode_special_tokens = as_text
+            return found
+
+        # chunks never hold an added token's string, so nothing needs to look for one
+        self.tokenizer = load(True)
+        # a text that may hold one is encoded whole, by the library
+        self.whole = load(False) if not special_as_text else self.tokenizer
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added_head = commonprefix(self.added)
         size = self.tokenizer.get_vocab_size()
@@ -148,7 +154,8 @@ class ChunkEncoder:
         for i, text in enumerate(texts):
             chunks = self._chunks(text)
             if chunks is None:
-                out.append(self._plain([text])[0])
+                ids = self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids
+                out.append(np.array(ids, self.dtype).tobytes())
                 continue
             found = list(map(get, chunks))
             if None in found:
