@@ -9,6 +9,7 @@ dictionary of bounded size, and only unknown chunks go through the tokenizer.
 
 from __future__ import annotations
 
+import gc
 import re
 from functools import lru_cache
 from os.path import commonprefix
@@ -150,6 +151,15 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
+        collects = gc.isenabled()
+        gc.disable()  # long lists and no cycles: the collector would walk through them again and again
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         get, out, waiting, unknown = self.memo.get, [], [], set()
         for i, text in enumerate(texts):
             chunks = self._chunks(text)
@@ -186,7 +196,7 @@ def encoder(path: str) -> ChunkEncoder:
 frees_between_queries(encoder.cache_clear)
 
 
-def in_slices(texts: list[str], chars: int = 4 << 20):
+def in_slices(texts: list[str], chars: int = 1 << 20):
     """Slices of the list whose texts have about so many characters, at least one text each."""
     start = size = 0
     for i, text in enumerate(texts):
