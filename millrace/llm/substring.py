@@ -215,7 +215,9 @@ def build_sketch(docs: DataFrame, cells: int, slices: int, window: int, gram: in
         found: list[np.ndarray] = []
         for batch in sliced(batches):
             for data in text_bytes(batch.column("text")):
-                found.append(anchor_runs(hash_words(data)[0], window, gram)[0])
+                keys = anchor_runs(hash_words(data)[0], window, gram)[0]
+                if len(keys):
+                    found.append(keys)
         if not found:
             return
         keys, counts = np.unique(np.concatenate(found), return_counts=True)

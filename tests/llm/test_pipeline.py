@@ -32,7 +32,7 @@ def test_stages(spark):
 
     good = step(0, docs)
     model = fm.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
-    want = [d.doc_id for d in docs.collect() if model.scores([fm.featurize(d.text)])[0] >= 0.7]
+    want = [d.doc_id for d in docs.collect() if model.scores([fm.featurize(d.text, {"n_chars": d.n_chars})])[0] >= 0.7]
     assert sorted(r.doc_id for r in good.collect()) == sorted(want) and 0 < len(want) < docs.count()
 
     single = step(1, good)

@@ -127,6 +127,17 @@ def test_anchors_are_those_of_equal_windows():
         assert grams[places[100 + i]] == grams[places[300 + i]]
 
 
+@pytest.mark.parametrize("cells", [1 << 30, 1 << 16])
+def test_texts_without_a_window(spark, cells, monkeypatch):
+    monkeypatch.setattr(substring, "sketch_size", lambda n, most: (1 << 16, 1 if most > 1 << 16 else 4))
+    rows = [(1, None), (2, ""), (3, "short"), (None, "also short"), (3, "short")]
+    df = spark.createDataFrame([(d, t, 1, "x", 2, len(t or "")) for d, t in rows], SCHEMA).repartition(3)
+    key = lambda r: tuple("" if x is None else str(x) for x in r)
+    got = substring.removal_digests(df, max_cells=cells).collect()
+    assert sorted(map(tuple, got), key=key) == sorted(brute(rows, 35), key=key)
+    assert sorted(substring.without_repeats(df, max_cells=cells).collect(), key=key) == sorted(df.collect(), key=key)
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert substring.removal_digests(empty).collect() == []
