@@ -65,7 +65,7 @@ BLOCK_CELLS = 1 << 16
 #: Bytes whose words are hashed together.
 SEGMENT_BYTES = 1 << 18
 
-_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD1342543DE82EF95)  # odd, so they have inverses modulo 2**64
+_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so they have inverses modulo 2**64
 _SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(b" \t\n\r\x0b\x0c")] = True
@@ -115,21 +115,50 @@ def _segments(data: bytes) -> Iterator[tuple[int, int]]:
         low = high
 
 
-def hash_words(data: bytes, multiplier: int = _MULTIPLIERS[2]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Words of more bytes are hashed one by one, by xxh3.
+LONG_WORD = 16
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Start and odd factor of the two lanes of word hashes.
+_LANES = ((0x2545F4914F6CDD1D, 0x9FB21C651E98DF25), (0x6A09E667F3BCC908, 0xD6E8FEB86659FD93))
+
+
+def _hash_short(data: bytes, starts: np.ndarray, lengths: np.ndarray, lane: int) -> np.ndarray:
+    """A 64-bit hash of each word of up to 16 bytes, from its length and its bytes taken eight at a time.
+
+    Each step is one to one in what it takes, and that is mixed into all bits
+    before the next: words of one length and up to eight bytes never share a
+    hash, others do by chance only.
+    """
+    start, factor = (np.uint64(x) for x in _LANES[lane])
+    eights = np.ndarray((len(data) - 15,), "<u8", data, strides=(1,))  # the eight bytes from each place on
+    out = _mix((lengths.astype(np.uint64) ^ start) * factor)
+    out = _mix((out ^ (eights[starts] & _LOW_BYTES[np.minimum(lengths, 8)])) * factor)
+    more = np.flatnonzero(lengths > 8)
+    if len(more):
+        rest = eights[starts[more] + 8] & _LOW_BYTES[np.minimum(lengths[more] - 8, 8)]
+        out[more] = _mix((out[more] ^ rest) * factor)
+    return out
+
+
+def hash_words(data: bytes, lane: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of the words of a text: runs of anything but ASCII white space.
 
-    A word's hash is that of its bytes as a polynomial, from sums over the whole
-    segment, so that no word is looked at by itself.
+    The two lanes are hashes that don't depend on each other. No hash depends on where
+    a text is cut into segments, as they end where words do.
     """
+    import xxhash
+
     parts = []
     for low, high in _segments(data):
-        text = np.frombuffer(data, np.uint8, high - low, low)
+        segment = data[low:high] + bytes(16)
+        text = np.frombuffer(segment, np.uint8, high - low)
         edges = np.flatnonzero(np.diff(_IS_SPACE[text], prepend=True, append=True))
         starts, ends = edges[::2], edges[1::2]
-        ups, downs = _powers(multiplier, 1 << max(12, len(text).bit_length()))
-        sums = np.zeros(len(text) + 1, np.uint64)
-        np.cumsum((text + np.uint64(1)) * ups[: len(text)], out=sums[1:])
-        parts.append((_mix((sums[ends] - sums[starts]) * downs[starts]), starts + low, ends + low))
+        hashes = _hash_short(segment, starts, ends - starts, lane)
+        for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+            digest = xxhash.xxh3_128_intdigest(segment[starts[k] : ends[k]])
+            hashes[k] = digest >> 64 * lane & 0xFFFFFFFFFFFFFFFF
+        parts.append((hashes, starts + low, ends + low))
     if not parts:
         none = np.empty(0, np.int64)
         return np.empty(0, np.uint64), none, none
@@ -152,7 +181,7 @@ def anchors(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple
 
 def window_hashes(data: bytes, hashes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each window, from two hashes of each word."""
-    others = hash_words(data, _MULTIPLIERS[1])[0]
+    others = hash_words(data, 1)[0]
     return tuple(_mix(_rolling(h, window, m)).view(np.int64) for h, m in zip((hashes, others), _MULTIPLIERS[:2], strict=True))
 
 

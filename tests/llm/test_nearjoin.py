@@ -160,3 +160,12 @@ def test_rows_of_a_large_group_are_linear(spark, monkeypatch):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert nearjoin.near_duplicates(df).collect() == [] and nearjoin.keep_first(df).collect() == []
+
+
+@pytest.mark.parametrize("size", [16, 512, 4096])
+def test_structured_words_differ(spark, size):
+    """Texts that differ in a Thue-Morse word and its complement are neither copies nor linked."""
+    words = ["".join("ab"[(i.bit_count() + k) % 2] for i in range(size)) for k in (0, 1)]
+    rows = [(k, " ".join([*(f"w{i}" for i in range(17)), word, *(f"v{i}" for i in range(17))])) for k, word in enumerate(words)]
+    got = nearjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.class_id, r.n_copies, r.n_links) for r in got} == {(0, 0, 1, 0), (1, 1, 1, 0)}

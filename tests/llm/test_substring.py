@@ -142,3 +142,34 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert substring.removal_digests(empty).collect() == []
     assert substring.without_repeats(empty).collect() == []
+
+
+def thue_morse(n, zero="a", one="b"):
+    return "".join(one if i.bit_count() % 2 else zero for i in range(n))
+
+
+@pytest.mark.parametrize("size", [8, 16, 64, 512, 1024, 4096])
+def test_structured_words_differ(spark, size):
+    """A Thue-Morse word and its complement, alone and inside windows that are else equal."""
+    x, y = thue_morse(size), thue_morse(size, "b", "a")
+    for lane in (0, 1):
+        hashes = substring.hash_words(f"{x} {y} {x}".encode(), lane)[0]
+        assert hashes[0] == hashes[2] != hashes[1]
+    rows = [(k, " ".join([*(f"w{i}" for i in range(17)), word, *(f"v{i}" for i in range(17))])) for k, word in enumerate((x, y))]
+    rows += [(2, f"{x} " * 36), (3, f"{y} " * 36), (4, rows[0][1] + " end")]
+    got = substring.removal_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows, 35))
+    assert {r.doc_id: r.n_removed for r in got} == {0: 35, 1: 0, 2: 36, 3: 36, 4: 35}
+
+
+def test_word_hashes_follow_the_words_only():
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("ab\x00é") for _ in range(rng.randint(1, 40))) for _ in range(30_000)})
+    for lane in (0, 1):
+        found = {}
+        for text in (" ".join(words), "\n ".join(reversed(words))):
+            hashes, starts, ends = substring.hash_words(text.encode(), lane)
+            for h, a, b in zip(hashes.tolist(), starts.tolist(), ends.tolist(), strict=True):
+                assert found.setdefault(text.encode()[a:b], h) == h
+        assert len(set(found.values())) == len(words)
+    assert not np.array_equal(substring.hash_words(b"a b")[0], substring.hash_words(b"a b", 1)[0])
