@@ -8,7 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import fm, licenses, linecrf, matroska, mixing, nearjoin, packing, records, sql, substring, urlfilter
+from millrace.llm import (
+    fm,
+    importance,
+    licenses,
+    linecrf,
+    matroska,
+    mixing,
+    nearjoin,
+    packing,
+    prefixtrie,
+    records,
+    sharding,
+    sql,
+    substring,
+    urlfilter,
+)
 from millrace.llm._common import materialize
 
 #: Host and path rules of the URL filter (verdict, host, path).
@@ -81,6 +96,18 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.near_duplicates(_table(spark, sf_dir, "documents")).drop("tie", "first")
 
 
+def op11_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(_table(spark, sf_dir, "documents"), shards=40)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=10, least=20, buckets=10_000, seed=2024)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -126,6 +153,18 @@ def audit_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_line_quality(spark, sf_dir).drop("content_share", "kept")
 
 
+def audit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and bytes; shards that differ by more than their smallest group of texts; slots that leave gaps; texts in two shards."""
+    rows = materialize(op11_lpt_sharding(spark, sf_dir), "shards")
+    shards = rows.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.max("slot").alias("top"), F.count_distinct("slot").alias("slots"))
+    uneven = F.max("bytes") - F.min("bytes") > 0.01 * F.avg("bytes")
+    marks = shards.agg(uneven.alias("uneven"), F.count_if(F.expr("top <> n - 1 or slots <> n")).alias("gaps"), F.count("*").alias("shards"))
+    texts = _table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("key")).join(rows, "doc_id")
+    split = texts.groupBy("key").agg(F.count_distinct("shard").alias("n")).agg(F.count_if(F.col("n") > 1).alias("split"))
+    sizes = rows.agg(F.count("*").alias("documents"), F.sum("size").alias("bytes"))
+    return sizes.crossJoin(marks).crossJoin(split)  # one row each
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -139,6 +178,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_substring_dedup,
         op9_line_quality,
         op10_ngram_jaccard_join,
+        op11_lpt_sharding,
+        op12_importance_resampling,
+        op13_prefix_trie,
         pipeline,
         audit_media,
         audit_packing,
@@ -146,6 +188,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         audit_classifier,
         audit_mixing,
         audit_line_rules,
+        audit_sharding,
     )
 }
 
@@ -154,12 +197,15 @@ ORACLE_SQL: dict[str, str] = {
     "op5_url_filter": sql.URL_FILTER,
     "op8_substring_dedup": sql.SUBSTRING_DEDUP,
     "op10_ngram_jaccard_join": sql.JACCARD_JOIN,
+    "op12_importance_resampling": sql.IMPORTANCE_RESAMPLING,
+    "op13_prefix_trie": sql.PREFIX_TRIE,
     "audit_media": sql.AUDIT_MEDIA,
     "audit_packing": sql.AUDIT_PACKING,
     "audit_records": sql.AUDIT_RECORDS,
     "audit_classifier": sql.AUDIT_CLASSIFIER,
     "audit_mixing": sql.AUDIT_MIXING,
     "audit_line_rules": sql.AUDIT_LINE_RULES,
+    "audit_sharding": sql.AUDIT_SHARDING,
 }
 
 
