@@ -8,7 +8,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _known: set[str] = set()
 
@@ -53,3 +53,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         _known.add(folder)
         atexit.register(_sweep, sc._jvm, sc._jsc.hadoopConfiguration(), folder)
     return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written as Parquet to the shared folder and read again: its lineage is cut, its rows are fixed."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
