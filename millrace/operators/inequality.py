@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.times import local_micros
 from millrace.storage import written
 
 #: Rows of a block at least, and blocks of a side at most (a further doubling of the rows doubles the blocks' rows).
@@ -34,7 +35,7 @@ def _number(df: DataFrame, column: str, whole: bool) -> Column:
     """A value that sorts as the column does: microseconds, days or whole numbers as longs, else a double."""
     kind, value = df.schema[column].dataType.typeName(), F.col(column)
     if kind == "timestamp_ntz":
-        value = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), value)
+        value = local_micros(value)
     elif kind == "timestamp":
         value = F.unix_micros(value)
     elif kind == "date":

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.frames import frame_aggregates
 from millrace.operators.joins import free_name
 
+
 def top_k_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each group. Spark limits groups before the shuffle (WindowGroupLimit)."""
     rank = free_name("_rank", df)
@@ -65,12 +67,7 @@ def sum_excluding(df: DataFrame, value: str, name: str, keys: list[str], order:
 
     Null where nothing is left to add, as SQL has it. ``exclude``: "row", "group" or "ties".
     """
-    whole, peers = Window.partitionBy(*keys), Window.partitionBy(*keys, order)
-    total, group = F.coalesce(F.sum(value).over(whole), F.lit(0)), F.coalesce(F.sum(value).over(peers), F.lit(0))
-    own, one = F.coalesce(F.col(value), F.lit(0)), F.col(value).isNotNull().cast("int")
-    n, m = F.count(value).over(whole), F.count(value).over(peers)
-    parts = {"row": (total - own, n - one), "group": (total - group, n - m), "ties": (total - group + own, n - m + one)}
-    if exclude not in parts:
+    kinds = {"row": "current row", "group": "group", "ties": "ties"}
+    if exclude not in kinds:
         raise ValueError("exclude is row, group or ties")
-    rest, left = parts[exclude]
-    return df.withColumn(name, F.when(left > 0, rest))
+    return frame_aggregates(df, keys, order, {name: ("sum", value)}, None, None, kinds[exclude])

@@ -25,14 +25,16 @@ def scalar_strings_more(t: Tables) -> DataFrame:
     )
 
 
-@query(r"SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS protocol, regexp_extract(url, '://([^/?#]*)', 1) AS host, "
-       r"regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, nullif(regexp_extract(url, '[?]([^#]*)', 1), '') AS query FROM pages "
-       r"WHERE regexp_full_match(url, '[a-z]+://[a-z0-9.-]+(/[A-Za-z0-9/._-]*)?([?][A-Za-z0-9=&_.-]+)?')")
+@query(r"""
+SELECT page_id, CASE WHEN well THEN regexp_extract(url, '^([a-z]+)://', 1) END AS protocol, CASE WHEN well THEN regexp_extract(url, '://([^/?#]*)', 1) END AS host,
+       CASE WHEN well THEN regexp_extract(url, '://[^/?#]*([^?#]*)', 1) END AS path, CASE WHEN well THEN nullif(regexp_extract(url, '[?]([^#]*)', 1), '') END AS query
+FROM (SELECT *, regexp_full_match(url, '[a-z]+://[a-z0-9.-]+(/[A-Za-z0-9/._-]*)?([?][A-Za-z0-9=&_.-]+)?') AS well FROM pages)
+""")
 def scalar_urls(t: Tables) -> DataFrame:
-    """Parts of the URLs that are well formed."""
+    """Parts of every page's URL, nulls where it isn't well formed."""
     well = F.regexp_like("url", F.lit("^[a-z]+://[a-z0-9.-]+(/[A-Za-z0-9/._-]*)?([?][A-Za-z0-9=&_.-]+)?$"))
-    part = lambda name: F.try_parse_url("url", F.lit(name)).alias({"PROTOCOL": "protocol"}.get(name, name.lower()))
-    return t.pages.filter(well).select("page_id", part("PROTOCOL"), part("HOST"), part("PATH"), part("QUERY"))
+    part = lambda name: F.when(well, F.try_parse_url("url", F.lit(name))).alias(name.lower())
+    return t.pages.select("page_id", part("PROTOCOL"), part("HOST"), part("PATH"), part("QUERY"))
 
 
 @query("SELECT c_custkey, c, x FROM customer JOIN (VALUES ('AUTOMOBILE', 3025255864, -397458929486201437), ('BUILDING', 660405656, -4774024506382391778), ('FURNITURE', 580895836, 5213815711692083559), ('HOUSEHOLD', 268513583, 623825489902674195), ('MACHINERY', 2018007539, 5510886111809640743)) v(seg, c, x) ON c_mktsegment = seg")

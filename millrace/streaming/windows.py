@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -12,6 +13,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from millrace.operators.joins import free_name
+
 
 def file_stream(spark: SparkSession, fmt: str, path: str, schema: StructType | str, files_per_trigger: int = 1000, **options) -> DataFrame:
     """A stream of the files at ``path``: a file, a folder of part files, or a pattern. It is an error if there is none."""
@@ -45,9 +48,22 @@ def distinct_within_watermark(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
 
 
+def _grown(total: float | None, top: float | None, values: pd.Series) -> tuple[float | None, float | None]:
+    """A sum and a largest value with more values, none of them null; NaN is the largest."""
+    if not len(values):
+        return total, top
+    added, most = float(values.sum(skipna=False)), float("nan") if values.isna().any() else float(values.max())
+    if total is None:
+        return added, most
+    return total + added, top if math.isnan(top) or not (math.isnan(most) or most > top) else most
+
+
 def running_totals(df: DataFrame, key: str, value: str, ts: str | None = None, idle_ms: int = 0) -> DataFrame:
     """Rows, sum and largest value of each key so far, one row for each key that a batch touches.
 
+    Null values count as rows only; a key with no other has a null sum and no largest value.
+    A NaN among the values makes both null: pandas hands NaN back as null.
+
     With ``ts``, the column of the watermark, the state of a key is dropped
     once the watermark is ``idle_ms`` past its latest row: state stays bounded.
     """
@@ -56,17 +72,19 @@ def running_totals(df: DataFrame, key: str, value: str, ts: str | None = None, i
         if state.hasTimedOut:
             state.remove()
             return
-        n, total, top = state.get if state.exists else (0, 0.0, float("-inf"))
+        n, total, top = state.get if state.exists else (0, None, None)
         latest = 0
         for frame in frames:
             if ts:
                 latest = max(latest, int(frame[ts].max().timestamp() * 1000))
-            n, total, top = n + len(frame), total + float(frame[value].sum()), max(top, float(frame[value].max()))
+            n, total, top = n + len(frame), *_grown(total, top, frame.loc[frame[has], value])
         state.update((n, total, top))
         if ts:
             state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + max(1, idle_ms))
         yield pd.DataFrame({key: [group[0]], "n": [n], "total": [total], "top": [top]})
 
+    has = free_name("_has", df)  # pandas can't tell a null from NaN
+    df = df.withColumn(has, F.col(value).isNotNull())
     kind = df.schema[key].dataType.simpleString()
     timeout = GroupStateTimeout.EventTimeTimeout if ts else GroupStateTimeout.NoTimeout
     return df.groupBy(key).applyInPandasWithState(
@@ -77,16 +95,16 @@ def running_totals(df: DataFrame, key: str, value: str, ts: str | None = None, i
 class _Totals(StatefulProcessor):
     """Rows and sum of each key so far, as a value in the state store; dropped after ``ttl_ms`` without a row, if that is set."""
 
-    def __init__(self, key: str, value: str, ttl_ms: int | None):
-        self.key, self.value, self.ttl_ms = key, value, ttl_ms
+    def __init__(self, key: str, value: str, has: str, ttl_ms: int | None):
+        self.key, self.value, self.has, self.ttl_ms = key, value, has, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("totals", "n long, total double", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, total = self.state.get() if self.state.exists() else (0, 0.0)
+        n, total = self.state.get() if self.state.exists() else (0, None)
         for frame in rows:
-            n, total = n + len(frame), total + float(frame[self.value].sum())
+            n, total = n + len(frame), _grown(total, None if total is None else 0.0, frame.loc[frame[self.has] == 1, self.value])[0]
         self.state.update((n, total))
         yield pd.DataFrame({self.key: [key[0]], "n": [n], "total": [total]})
 
@@ -96,9 +114,11 @@ class _Totals(StatefulProcessor):
 
 def kept_totals(df: DataFrame, key: str, value: str, ttl_ms: int | None = None) -> DataFrame:
     """As :func:`running_totals`, by ``transformWithState``, whose state can expire by itself. Needs :func:`rocksdb_state`."""
+    has = free_name("has_", df)
+    df = df.select(key, value, F.when(F.col(value).isNotNull(), 1).otherwise(0).alias(has))
     kind = df.schema[key].dataType.simpleString()
     mode = "ProcessingTime" if ttl_ms else "None"
-    return df.groupBy(key).transformWithStateInPandas(_Totals(key, value, ttl_ms), f"{key} {kind}, n long, total double", "Update", mode)
+    return df.groupBy(key).transformWithStateInPandas(_Totals(key, value, has, ttl_ms), f"{key} {kind}, n long, total double", "Update", mode)
 
 
 @contextmanager

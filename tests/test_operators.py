@@ -222,3 +222,45 @@ def test_groups_and_exclude_with_nulls(spark):
         assert r.ties == total(x[3] for x in own if x[2] != r.o or x[0] == r.i)
     with pytest.raises(ValueError):
         relational.sum_excluding(df, "v", "x", ["k"], "o", "all")
+
+
+@pytest.fixture
+def new_york(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    yield
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+@pytest.mark.parametrize("width", [60.0, 600.0, 3600.0, 86_400.0])
+@pytest.mark.parametrize("day", [datetime(2024, 3, 10), datetime(2024, 11, 3)], ids=["spring", "autumn"])
+def test_local_times_where_clocks_change(spark, new_york, width, day):
+    """Times without a zone are compared by the clock that they show, whatever the session's zone skips or repeats."""
+    rng = random.Random(11)
+    left = [(i, "k", day + timedelta(minutes=rng.randint(0, 300))) for i in range(60)]
+    right = [("k", day + timedelta(minutes=rng.randint(0, 300)), i) for i in range(40)]
+    left.append((99, "k", day.replace(hour=2, minute=30)))
+    right.append(("k", day.replace(hour=3, minute=10), 99))
+    a = spark.createDataFrame(left, "id int, k string, ts timestamp_ntz")
+    b = spark.createDataFrame(right, "k string, ts timestamp_ntz, v int")
+    pairs = joins.interval_join(a, b, ["k"], "ts", "ts", "0 hours", "1 hour", bin_seconds=width).select("id", "v").collect()
+    want = [(i, v) for i, _, t in left for _, u, v in right if t <= u <= t + timedelta(hours=1)]
+    assert sorted(map(tuple, pairs)) == sorted(want) and (99, 99) in want
+    got = {r.id: r.v for r in joins.asof_join(a, b, "ts", ["k"], ["v"], bin_width=width).collect()}
+    for i, _, t in left:
+        before = [(u, v) for _, u, v in right if u <= t]
+        assert got[i] == (max(before)[1] if before else None)
+
+
+def test_sum_excluding_what_is_not_a_number(spark):
+    df = spark.createDataFrame([(1, 1, float("nan")), (2, 1, 5.0), (3, 2, 1e17), (4, 2, 0.5)], "id int, o int, v double")
+    got = {r.id: r.s for r in relational.sum_excluding(df.filter("id < 3"), "v", "s", [], "o", "row").collect()}
+    assert got[1] == 5.0 and got[2] != got[2]
+    rest = {r.id: r.s for r in relational.sum_excluding(df.filter("id > 1"), "v", "s", [], "o", "row").collect()}
+    assert rest[3] == 5.5
+
+
+def test_urls_of_all_pages(spark, tmp_path):
+    urls = ["http://a.com/x?q=1", "no url", None, "http://a b/", "https://c.org"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: tuple(r)[1:] for r in QUERIES["scalar_urls"](spark, str(tmp_path)).collect()}
+    assert got[0] == ("http", "a.com", "/x", "q=1") and got[1] == got[2] == got[3] == (None,) * 4 and got[4][:2] == ("https", "c.org")

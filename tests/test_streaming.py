@@ -96,3 +96,16 @@ def test_what_a_stream_cannot_do(spark, tmp_path):
     for bad in (rows.orderBy("v"), numbered):
         with pytest.raises(AnalysisException):
             windows.run_to_table(bad, "append", shared_dir(spark, "t"), f"{tmp_path}/bad")
+
+
+def test_null_values_and_null_keys(spark, tmp_path):
+    """A key with null values only has no sum; NaN comes back as null; a null key is no user."""
+    rows = [("a", None), ("a", None), ("b", 1.0), ("b", None), ("c", float("nan")), ("c", 2.0), (None, 3.0)]
+    spark.createDataFrame(rows, "k string, v double").repartition(1).write.parquet(f"{tmp_path}/in")
+    source = windows.file_stream(spark, "parquet", f"{tmp_path}/in", "k string, v double")
+    out = windows.run_to_table(windows.running_totals(source, "k", "v"), "update", shared_dir(spark, "n"), f"{tmp_path}/out")
+    got = {r.k: (r.n, str(r.total), str(r.top)) for r in out.collect()}
+    assert got == {"a": (2, "None", "None"), "b": (2, "1.0", "1.0"), "c": (2, "None", "None"), None: (1, "3.0", "3.0")}
+    with windows.rocksdb_state(spark):
+        out = windows.run_to_table(windows.kept_totals(source, "k", "v"), "update", shared_dir(spark, "n"), f"{tmp_path}/out2")
+        assert {r.k: (r.n, str(r.total)) for r in out.collect()} == {k: v[:2] for k, v in got.items()}
