@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -66,6 +69,14 @@ def frees_between_queries(clear: Callable[[], None]) -> None:
     _CACHES.append(clear)
 
 
+def _hand_back() -> None:
+    """Give what the worker has freed back to the system, which the allocators else keep for later."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library that has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in slices of few rows and bytes, so that only their Python objects exist at a time.
 
@@ -79,6 +90,7 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             _serving[:] = [query]
             for clear in _CACHES:
                 clear()
+            _hand_back()
     for batch in batches:
         step = max(1, min(rows, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
         for low in range(0, batch.num_rows, step):
