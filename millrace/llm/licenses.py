@@ -34,26 +34,41 @@ PHRASES = [
     ("apache-2", "apache license version 2"),
     ("cc-by-nc", "cc by nc"),
 ]
-# Words of well-known licenses and notices by which they differ from others, with their labels.
+# Words of well-known licenses by which they differ from others, with their labels. A span may depart from them.
 TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("gpl", "the gnu general public license"),
-    ("lgpl", "gnu lesser general public license"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("cc-by", "creative commons attribution 4 0"),
-    ("cc-by-sa", "creative commons attribution sharealike 4 0"),
     ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain"),
     ("proprietary", "all rights reserved no part of this publication may be reproduced"),
     ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("gpl-2", "either version 2 of the license"),
-    ("gpl-2", "general public license version 2"),
-    ("gpl-3", "either version 3 of the license"),
-    ("gpl-3", "general public license version 3"),
     ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
 ]
+# Names and notices that another license's differ from by a word, with their labels. They count only as they stand.
+EXACT = [
+    ("gpl", "the gnu general public license"),
+    ("lgpl", "gnu lesser general public license"),
+    ("agpl", "gnu affero general public license"),
+    ("gpl-2", "gnu general public license version 2"),
+    ("gpl-3", "gnu general public license version 3"),
+    ("lgpl-2", "gnu lesser general public license version 2"),
+    ("lgpl-2.1", "gnu lesser general public license version 2 1"),
+    ("lgpl-3", "gnu lesser general public license version 3"),
+    ("agpl-3", "gnu affero general public license version 3"),
+    ("gpl-2", "gnu general public license as published by the free software foundation either version 2 of the license"),
+    ("gpl-3", "gnu general public license as published by the free software foundation either version 3 of the license"),
+    ("lgpl-2.1", "gnu lesser general public license as published by the free software foundation either version 2 1 of the license"),
+    ("lgpl-3", "gnu lesser general public license as published by the free software foundation either version 3 of the license"),
+    ("agpl-3", "gnu affero general public license as published by the free software foundation either version 3 of the license"),
+    ("bsd-2", "bsd 2 clause license"),
+    ("bsd-3", "bsd 3 clause license"),
+    ("cc-by", "creative commons attribution 4 0"),
+    ("cc-by-sa", "creative commons attribution sharealike 4 0"),
+]
+# Labels of families, which give way to a longer label of a member, such as gpl to gpl-2.
+FAMILIES = ["gpl", "lgpl", "lgpl-2", "agpl", "bsd"]
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -64,18 +79,20 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lowered, _NO_WORD), "")
 
 
-def template_runs(spark: SparkSession, phrases: list[tuple[str, str]], templates: list[tuple[str, str]], k: int) -> DataFrame:
-    """``h, t0.., template, label, base, at, runs``: one row for each run of each template."""
+def template_runs(
+    spark: SparkSession, phrases: list[tuple[str, str]], templates: list[tuple[str, str]], exact: list[tuple[str, str]], k: int, coverage: float
+) -> DataFrame:
+    """``h, t0.., template, label, base, at, runs, needed``: one row for each run of each template; ``needed`` is the coverage that counts."""
     rows = []
-    for base, group in ((True, phrases), (False, templates)):
+    for base, needed, group in ((True, 1.0, phrases), (False, coverage, templates), (False, 1.0, exact)):
         for label, text in group:
             words = text.split()
             if len(words) < k:
                 raise ValueError(f"template shorter than {k} words: {text}")
             runs, template = len(words) - k + 1, len(rows)  # named by its first row
-            rows += [(*words[i : i + k], template, label, base, i, runs) for i in range(runs)]
+            rows += [(*words[i : i + k], template, label, base, i, runs, needed) for i in range(runs)]
     words = ", ".join(f"t{i} string" for i in range(k))
-    table = spark.createDataFrame(rows, f"{words}, template int, label string, base boolean, at int, runs int")
+    table = spark.createDataFrame(rows, f"{words}, template int, label string, base boolean, at int, runs int, needed double")
     return table.withColumn("h", F.xxhash64(*(f"t{i}" for i in range(k))))
 
 
@@ -92,9 +109,9 @@ def votes(docs: DataFrame, runs: DataFrame, k: int = K) -> DataFrame:
     for s in same:
         on = on & s
     hits = grams.join(F.broadcast(runs), on)  # the templates are a fixed table
-    hits = hits.select("id", "tie", "template", "label", "base", "runs", "at", (F.col("pos") - F.col("at")).alias("diagonal"))
+    hits = hits.select("id", "tie", "template", "label", "base", "runs", "needed", "at", (F.col("pos") - F.col("at")).alias("diagonal"))
     # rows alike in id and text vote once
-    keys = ["id", "tie", "template", "label", "base", "runs", "diagonal"]
+    keys = ["id", "tie", "template", "label", "base", "runs", "needed", "diagonal"]
     return hits.groupBy(*keys).agg(F.collect_set("at").alias("held")).withColumn("votes", F.size("held"))
 
 
@@ -129,13 +146,21 @@ def merge_diagonals(tally: DataFrame, drift: int = DRIFT) -> DataFrame:
     hits = F.transform("span", lambda h: F.struct(h["at"].alias("at"), (F.col("diagonal") - h["diagonal"] - h["at"]).alias("back")))
     chain = longest_chain(F.array_sort(hits), F.col("runs") + drift)
     place = F.when(F.col("votes") == F.col("runs"), F.col("diagonal"))
-    return spans.select("id", "tie", "template", "label", "base", "diagonal", place.alias("place"), (chain / F.col("runs")).alias("coverage"))
+    return spans.select("id", "tie", "template", "label", "base", "needed", "diagonal", place.alias("place"), (chain / F.col("runs")).alias("coverage"))
+
+
+def _without_families(labels: Column, families: list[str]) -> Column:
+    """Labels of a document without those of families of which it has a member's."""
+    member = lambda f: F.exists(labels, lambda m: m.startswith(F.concat(f, F.lit("-"))) | m.startswith(F.concat(f, F.lit("."))))
+    return F.filter(labels, lambda f: ~(f.isin(families) & member(f)))
 
 
 def scan_licenses(
     df: DataFrame,
     phrases: list[tuple[str, str]] = PHRASES,
     templates: list[tuple[str, str]] = TEMPLATES,
+    exact: list[tuple[str, str]] = EXACT,
+    families: list[str] = FAMILIES,
     k: int = K,
     drift: int = DRIFT,
     coverage: float = COVERAGE,
@@ -146,26 +171,28 @@ def scan_licenses(
 
     ``n_base`` counts the literal places of the phrases, ``first_word`` and
     ``last_word`` are their smallest and largest start. ``labels`` adds those of
-    templates that a span covers by ``coverage`` or more. ``score`` is the best
-    coverage of any span, from 0 to 1.
+    templates that a span covers by ``coverage`` or more, and of ``exact`` ones
+    that it covers whole; one of ``families`` is left out where a label of a
+    member is found. ``score`` is the best coverage of any span, from 0 to 1.
 
     * Null and empty texts, and those shorter than k words: nothing is found.
     * Very long texts are scanned whole. Null ids are kept.
     * Repeated rows get equal results, each its own row.
     * An empty table gives no rows. Further columns are not read.
     """
-    runs = template_runs(df.sparkSession, phrases, templates, k)
+    runs = template_runs(df.sparkSession, phrases, templates, exact, k, coverage)
     docs = source_columns(df, id=id_col, text=text_col)
     docs = docs.select("id", F.xxhash64("text").alias("tie"), words_of(F.col("text")).alias("words"))
     spans = merge_diagonals(votes(docs, runs, k), drift)
     stands = F.col("base") & F.col("place").isNotNull()
-    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    joined = lambda c: F.array_join(F.array_sort(c), ",")
+    fits = stands | ((F.col("coverage") >= F.col("needed")) & ~F.col("base"))
     found = spans.groupBy("id", "tie").agg(
         F.count(F.when(stands, F.col("place"))).alias("n_base"),
         F.min(F.when(stands, F.col("place"))).cast("long").alias("first_word"),
         F.max(F.when(stands, F.col("place"))).cast("long").alias("last_word"),
-        joined(F.when(stands, F.col("label"))).alias("base_labels"),
-        joined(F.when(stands | ((F.col("coverage") >= coverage) & ~F.col("base")), F.col("label"))).alias("labels"),
+        joined(F.collect_set(F.when(stands, F.col("label")))).alias("base_labels"),
+        joined(_without_families(F.collect_set(F.when(fits, F.col("label"))), families)).alias("labels"),
         F.max("coverage").alias("score"),
     )
     found = found.withColumnsRenamed({"id": "f_id", "tie": "f_tie"})

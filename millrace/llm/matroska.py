@@ -81,15 +81,19 @@ def _uint(data: bytes, start: int, stop: int) -> int:
     return int.from_bytes(data[start:stop], "big")
 
 
+#: Nanoseconds of a tick where a segment doesn't say.
+DEFAULT_SCALE = 1_000_000
+
+
 @dataclass
 class Media:
     """What a file holds, payloads by byte range only."""
 
-    timestamp_scale: int = 1_000_000
+    timestamp_scale: int = DEFAULT_SCALE
     tracks: dict[int, dict] = field(default_factory=dict)
     packets: list[tuple] = field(default_factory=list)  # columns of PACKETS without the first and the last
-    cues: list[tuple[int, int, int]] = field(default_factory=list)  # time, track, cluster position
-    clusters: list[int] = field(default_factory=list)  # positions in the segment
+    cues: list[tuple[int, int, int]] = field(default_factory=list)  # time, track, cluster position in the file
+    clusters: list[int] = field(default_factory=list)  # positions in the file
 
 
     def cued(self) -> list[bool]:
@@ -147,6 +151,8 @@ def _block(data: bytes, start: int, stop: int, base: int, media: Media, key: boo
     when = (base + relative) * scale
     key = bool(flags & 0x80) if key is None else key
     cluster, add = len(media.clusters) - 1, media.packets.append
+    if not all(-(1 << 63) <= x < 1 << 63 for x in (when, when + len(sizes) * each, each)):
+        raise MatroskaError(f"times of the block at {start} exceed 64 bits")
     for k, size in enumerate(sizes):
         add((number, when + k * each, each, key, _LACING[kind], cluster, at, size))
         at += size
@@ -201,21 +207,11 @@ def parse(data: bytes) -> Media:
                 raise MatroskaError("neither matroska nor webm")
             found = True
         elif name == SEGMENT and found:
-            inner = start
-            while inner < stop:
-                n, a, b, size_known = next(elements(data, inner, stop))
-                if n == CLUSTER:
-                    media.clusters.append(inner - start)
-                    b = _cluster(data, a, b, media, size_known)
-                elif n == INFO:
-                    for m, x, y, _ in elements(data, a, b):
-                        if m == TIMESTAMP_SCALE:
-                            media.timestamp_scale = _uint(data, x, y)
-                elif n == TRACKS:
-                    _tracks(data, a, b, media)
-                elif n == CUES:
-                    _cues(data, a, b, media)
-                inner = b
+            had = len(media.packets), len(media.clusters), len(media.cues)
+            if _segment(data, start, stop, media, None):  # the scale stands behind packets: once more with it
+                for rows, n in zip((media.packets, media.clusters, media.cues), had, strict=True):
+                    del rows[n:]
+                _segment(data, start, stop, media, media.timestamp_scale)
         elif not found:
             raise MatroskaError("no EBML header")
         at = stop
@@ -224,7 +220,30 @@ def parse(data: bytes) -> Media:
     return media
 
 
-def _cues(data: bytes, start: int, stop: int, media: Media) -> None:
+def _segment(data: bytes, start: int, stop: int, media: Media, scale: int | None) -> bool:
+    """Read a segment; ``scale`` is its time scale, if that is known. Returns whether packets came before another scale."""
+    media.timestamp_scale = scale or DEFAULT_SCALE
+    at, late = start, False
+    while at < stop:
+        name, a, b, size_known = next(elements(data, at, stop))
+        if name == CLUSTER:
+            media.clusters.append(at)
+            b = _cluster(data, a, b, media, size_known)
+        elif name == INFO:
+            for m, x, y, _ in elements(data, a, b):
+                if m == TIMESTAMP_SCALE and not scale:
+                    found = _uint(data, x, y)
+                    late |= bool(media.clusters) and found != media.timestamp_scale
+                    media.timestamp_scale = found
+        elif name == TRACKS:
+            _tracks(data, a, b, media)
+        elif name == CUES:
+            _cues(data, a, b, media, start)
+        at = b
+    return late
+
+
+def _cues(data: bytes, start: int, stop: int, media: Media, segment: int) -> None:
     for name, a, b, _ in elements(data, start, stop):
         if name != CUE_POINT:
             continue
@@ -234,7 +253,7 @@ def _cues(data: bytes, start: int, stop: int, media: Media) -> None:
                 time = _uint(data, x, y)
             elif n == CUE_TRACK_POSITIONS:
                 spot = {m: _uint(data, p, q) for m, p, q, _ in elements(data, x, y)}
-                media.cues.append((time, spot.get(CUE_TRACK, 0), spot.get(CUE_CLUSTER_POSITION, 0)))
+                media.cues.append((time, spot.get(CUE_TRACK, 0), segment + spot.get(CUE_CLUSTER_POSITION, 0)))
 
 
 # ---------------------------------------------------------------- writing

@@ -110,33 +110,36 @@ FROM c LEFT JOIN k USING (rid)
 def license_scan() -> str:
     """Hits of the same templates, and for each diagonal the longest rising chain in the span that it opens."""
     rows: list[str] = []
-    for base, group in (("true", licenses.PHRASES), ("false", licenses.TEMPLATES)):
+    kinds = (("true", 1.0, licenses.PHRASES), ("false", licenses.COVERAGE, licenses.TEMPLATES), ("false", 1.0, licenses.EXACT))
+    for base, needed, group in kinds:
         for label, text in group:
             words, template = text.split(), len(rows)
             runs = len(words) - licenses.K + 1
-            rows += [f"('{words[i]}', '{words[i + 1]}', '{words[i + 2]}', {template}, '{label}', {base}, {i}, {runs})" for i in range(runs)]
+            rows += [f"('{words[i]}', '{words[i + 1]}', '{words[i + 2]}', {template}, '{label}', {base}, {i}, {runs}, {needed})" for i in range(runs)]
+    families = ", ".join(f"'{f}'" for f in licenses.FAMILIES)
     return rf"""
-WITH t(t0, t1, t2, template, label, base, spot, runs) AS (VALUES {", ".join(rows)}),
+WITH t(t0, t1, t2, template, label, base, spot, runs, needed) AS (VALUES {", ".join(rows)}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 w AS (SELECT rid, unnest(ws) AS w0, generate_subscripts(ws, 1) - 1 AS pos FROM d),
 g AS (SELECT rid, pos, w0, lead(w0) OVER s AS w1, lead(w0, 2) OVER s AS w2 FROM w WINDOW s AS (PARTITION BY rid ORDER BY pos)),
-h AS MATERIALIZED (SELECT DISTINCT rid, template, label, base, runs, spot, pos - spot AS diagonal FROM g JOIN t ON w0 = t0 AND w1 = t1 AND w2 = t2),
-v AS (SELECT rid, template, label, base, runs, diagonal, count(*) AS votes FROM h GROUP BY ALL),
-s AS (SELECT v.rid, v.template, v.label, v.base, v.runs, v.diagonal, v.votes, h.spot, h.spot + h.diagonal - v.diagonal + 1 AS place
+h AS MATERIALIZED (SELECT DISTINCT rid, template, label, base, runs, needed, spot, pos - spot AS diagonal FROM g JOIN t ON w0 = t0 AND w1 = t1 AND w2 = t2),
+v AS (SELECT rid, template, label, base, runs, needed, diagonal, count(*) AS votes FROM h GROUP BY ALL),
+s AS (SELECT v.rid, v.template, v.label, v.base, v.runs, v.needed, v.diagonal, v.votes, h.spot, h.spot + h.diagonal - v.diagonal + 1 AS place
       FROM v JOIN h ON v.rid = h.rid AND v.template = h.template AND h.diagonal BETWEEN v.diagonal AND v.diagonal + {licenses.DRIFT}),
-z AS (SELECT rid, label, base, runs, diagonal, votes,
+z AS (SELECT rid, label, base, runs, needed, diagonal, votes,
              list_reduce(list([place] ORDER BY spot, place DESC), lambda f, x: list_transform(f, lambda n, i: CASE WHEN i >= x[1] THEN
                  greatest(n, 1 + CASE WHEN x[1] > 1 THEN f[x[1] - 1] ELSE 0 END) ELSE n END),
                  list_transform(range(runs + {licenses.DRIFT}), lambda n: 0::BIGINT)) AS best
-      FROM s GROUP BY rid, template, label, base, runs, diagonal, votes),
-c AS (SELECT rid, label, base, CASE WHEN votes = runs THEN diagonal END AS place, best[-1] / runs AS coverage FROM z),
+      FROM s GROUP BY rid, template, label, base, runs, needed, diagonal, votes),
+c AS (SELECT rid, label, base, needed, CASE WHEN votes = runs THEN diagonal END AS place, best[-1] / runs AS coverage FROM z),
 f AS (SELECT rid, place, label AS base_label, label, coverage FROM c WHERE base AND place IS NOT NULL
-      UNION ALL SELECT rid, NULL, NULL, CASE WHEN coverage >= {licenses.COVERAGE} AND NOT base THEN label END, coverage FROM c),
+      UNION ALL SELECT rid, NULL, NULL, CASE WHEN coverage >= needed AND NOT base THEN label END, coverage FROM c),
 r AS (SELECT rid, count(place) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT base_label, ',' ORDER BY base_label) AS base_labels,
-             string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score FROM f GROUP BY rid)
+             list_sort(list(DISTINCT label) FILTER (WHERE label IS NOT NULL)) AS ls, max(coverage) AS score FROM f GROUP BY rid)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
-       coalesce(labels, '') AS labels, least(1.0, coalesce(score, 0.0))::DOUBLE AS score FROM d LEFT JOIN r USING (rid)
+       coalesce(array_to_string(list_filter(ls, lambda f: NOT (f IN ({families}) AND len(list_filter(ls, lambda m:
+         starts_with(m, f || '-') OR starts_with(m, f || '.'))) > 0)), ','), '') AS labels, least(1.0, coalesce(score, 0.0))::DOUBLE AS score FROM d LEFT JOIN r USING (rid)
 """
 
 #: What SQL can say of the shards: sizes, and that no shard is uneven, gappy, or shares a text.
