@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.plans.registry import query
 from millrace.session import Tables
 from millrace.storage import shared_dir
-from millrace.streaming import windows
+from millrace.streaming import timers, windows
 
 
 def _aggs() -> tuple:
@@ -118,3 +118,15 @@ def stream_transform_with_state(t: Tables) -> DataFrame:
     with windows.rocksdb_state(t.spark):
         updates = _run(t, windows.kept_totals(_events(t), "user_id", "value"), "update")
     return updates.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 2).alias("total"))
+
+
+@query("""
+SELECT event_type, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT) * 86400000 AS start_ms,
+       row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY value DESC, event_id) AS place, event_id, value
+FROM events QUALIFY place <= 3 AND date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
+""")
+def stream_top_by_timer(t: Tables) -> DataFrame:
+    """The three largest values of each type and day, given out by timers as the days close; the last day stays open."""
+    with windows.rocksdb_state(t.spark):
+        found = _run(t, timers.windowed_top(_events(t), "event_type", "ts", "value", "event_id", 3, 86_400_000), "append")
+    return found.filter("place > 0")
