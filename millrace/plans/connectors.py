@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from millrace.plans.registry import query
 from millrace.session import Tables
-from millrace.sources import files, generator
+from millrace.sources import blockfiles, files, generator
 from millrace.storage import shared_dir
+from millrace.streaming import windows
 
 ALL = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
 
@@ -73,3 +74,26 @@ def source_arrow(t: Tables) -> DataFrame:
 @query(ALL)
 def source_pandas(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(t.nation.toPandas(), t.nation.schema)  # 25 rows, whatever the scale
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey BETWEEN 100 AND 900 AND o_totalprice > 250000")
+def source_blocks(t: Tables) -> DataFrame:
+    """Orders in block files: written in order, read again by blocks whose bounds may hold what is wanted."""
+    path = shared_dir(t.spark, "blocks")
+    blockfiles.register(t.spark)
+    t.orders.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").write.format("blocks").mode("append").save(path)
+    where = [("o_orderkey", ">=", 100), ("o_orderkey", "<=", 900), ("o_totalprice", ">", 250000)]
+    return blockfiles.read(t.spark, path, where).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def stream_blocks(t: Tables) -> DataFrame:
+    """Orders streamed from block files: two commits, and what a second run finds new is added to the first's."""
+    path, checkpoint, sink = (shared_dir(t.spark, n) for n in ("blocks", "stream", "sink"))
+    blockfiles.register(t.spark)
+    columns = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
+    for part in ("o_orderkey % 2 = 0", "o_orderkey % 2 = 1"):
+        columns.filter(part).write.format("blocks").mode("append").save(path)
+        stream = t.spark.readStream.format("blocks").schema(columns.schema).load(path)
+        out = windows.run_to_table(stream, "append", checkpoint, sink)
+    return out
