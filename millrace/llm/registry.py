@@ -154,15 +154,22 @@ def audit_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and bytes; shards that differ by more than their smallest group of texts; slots that leave gaps; texts in two shards."""
+    """Rows and bytes; whether the loads aren't those of a heap; slots that leave gaps; texts in two shards.
+
+    A heap never puts a group on a shard that another is below: without its smallest group no shard of several is
+    above the least loaded one, but for what classes of large sizes round.
+    """
     rows = materialize(op11_lpt_sharding(spark, sf_dir), "shards")
-    shards = rows.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.max("slot").alias("top"), F.count_distinct("slot").alias("slots"))
-    uneven = F.max("bytes") - F.min("bytes") > 0.01 * F.avg("bytes")
-    marks = shards.agg(uneven.alias("uneven"), F.count_if(F.expr("top <> n - 1 or slots <> n")).alias("gaps"), F.count("*").alias("shards"))
-    texts = _table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("key")).join(rows, "doc_id")
-    split = texts.groupBy("key").agg(F.count_distinct("shard").alias("n")).agg(F.count_if(F.col("n") > 1).alias("split"))
+    shards = rows.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("top"), F.count_distinct("slot").alias("slots"))
+    marks = shards.agg(F.count_if(F.expr("top <> n - 1 or slots <> n")).alias("gaps"), F.count("*").alias("shards"))
+    texts = _table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("key")).join(rows, "doc_id")
+    groups = texts.groupBy("key", "shard").agg(F.sum("size").alias("bytes"))
+    split = groups.groupBy("key").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("split"))
+    loads = groups.groupBy("shard").agg(F.sum("bytes").alias("load"), F.min("bytes").alias("least"), F.count("*").alias("n"))
+    base = F.max(F.when(F.col("n") > 1, F.col("load") - F.col("least")))
+    uneven = loads.agg((F.coalesce(base, F.lit(0)) > F.min("load") * (1 + 1 / 1024)).alias("uneven"))
     sizes = rows.agg(F.count("*").alias("documents"), F.sum("size").alias("bytes"))
-    return sizes.crossJoin(marks).crossJoin(split)  # one row each
+    return sizes.crossJoin(marks).crossJoin(split).crossJoin(uneven)  # one row each
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
