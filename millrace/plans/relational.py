@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from millrace.functions.statistics import sample_excess_kurtosis, sample_skewness
-from millrace.operators import joins, relational
+from millrace.operators import joins, relational, skew
 from millrace.plans.registry import query
 from millrace.session import Tables
 
@@ -153,8 +153,9 @@ def join_right(t: Tables) -> DataFrame:
 @query("SELECT a.s_suppkey AS a_key, b.c_custkey AS b_key FROM (SELECT * FROM supplier WHERE s_nationkey < 5) a FULL JOIN "
        "(SELECT * FROM customer WHERE c_nationkey > 3) b ON s_nationkey = c_nationkey")
 def join_full(t: Tables) -> DataFrame:
-    a, b = t.supplier.filter("s_nationkey < 5"), t.customer.filter("c_nationkey > 3")
-    return a.join(b, F.col("s_nationkey") == F.col("c_nationkey"), "full").select(F.col("s_suppkey").alias("a_key"), F.col("c_custkey").alias("b_key"))
+    a = t.supplier.filter("s_nationkey < 5").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("a_key"))
+    b = t.customer.filter("c_nationkey > 3").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("b_key"))
+    return skew.full_join(a, b, ["nation"]).select("a_key", "b_key")
 
 
 @query("SELECT a.r_name AS a, b.r_name AS b FROM region a CROSS JOIN region b")
