@@ -60,3 +60,13 @@ def test_empty(spark):
     assert [tuple(r) for r in dyadic.dyadic_join(a, b, "x", "lo", "hi").collect()] == [(1.0, 0.0, 2.0)]
     plan = dyadic.dyadic_join(a, b, "x", "lo", "hi")._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_no_task_makes_most_pairs(spark, monkeypatch):
+    """Intervals over the whole domain, which all points are in."""
+    from millrace.operators import skew
+
+    monkeypatch.setattr(skew.dealt_join, "__defaults__", (20_000,))
+    a, b = spark.range(3000).selectExpr("id as x"), spark.range(200).selectExpr("id as i", "-1 as lo", "3000 as hi")
+    made = dyadic.dyadic_join(a, b, "x", "lo", "hi").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in made) == 600_000 and max(r["count"] for r in made) <= 150_000
