@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions import text, vectors
+from millrace.functions import text
+from millrace.operators import vectorblocks
 from millrace.plans.registry import query
 from millrace.session import Tables
 
@@ -129,19 +130,8 @@ def scalar_safe(t: Tables) -> DataFrame:
 @query("SELECT b.vec_id AS query_id, a.vec_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) + 0.0 AS dot, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) + 0.0 AS cos, "
        "round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS l2 FROM embeddings a JOIN embeddings b ON b.vec_id % 100 = 0")
 def vector_similarity(t: Tables) -> DataFrame:
-    size = lambda c: vectors.norm(F.col(c)).alias(f"{c}_norm")  # noqa: E731  once a row, not once a pair
-    queries = t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("probe"))
-    queries, rows = queries.select("*", size("probe")), t.embeddings.select("vec_id", "embedding", size("embedding"))
-    # no hint: few queries are broadcast, many are crossed in blocks, partition by partition
-    pairs = rows.crossJoin(queries).withColumn("product", vectors.dot(F.col("embedding"), F.col("probe")))
-    sizes = F.col("embedding_norm") * F.col("probe_norm")
-    return pairs.select(
-        "query_id",
-        "vec_id",
-        F.round("product", 4).alias("dot"),
-        F.round(F.when(sizes > 0, F.col("product") / sizes), 6).alias("cos"),
-        F.round(vectors.l2_distance(F.col("embedding"), F.col("probe")), 5).alias("l2"),
-    )
+    """Every pair of a query and a vector, by products of matrices; the result grows with the square of the table."""
+    return vectorblocks.similarities(t.embeddings, t.embeddings.filter("vec_id % 100 = 0"), "vec_id", "embedding")
 
 
 @query(r"SELECT doc_id, md5(trim(regexp_replace(lower(text), '[\x20\x09-\x0D]+', ' ', 'g'))) AS print, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM documents")
