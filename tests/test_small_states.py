@@ -14,3 +14,8 @@ def test_sets_meet_without_copies(spark):
     for name in ("set_except", "set_intersect"):
         text = plan(spark, name)
         assert text[text.index("Join") :].count("Aggregate [") >= 2
+
+
+def test_no_sketch_for_each_part(spark):
+    """Beside a DISTINCT, rows were expanded and grouped by part with three sketches each."""
+    assert "Expand" not in plan(spark, "agg_sketches")
