@@ -408,9 +408,9 @@ def set_union_all(t: Tables) -> DataFrame:
 
 @query("SELECT c_nationkey AS k FROM customer WHERE c_acctbal < 0 INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
 def set_intersect(t: Tables) -> DataFrame:
-    # each side keeps a row a key before they meet: Spark would join all rows of a key
+    # the right side keeps a row a key before they meet: Spark would join all its rows
     rich = t.supplier.filter("s_acctbal > 5000").select("s_nationkey").distinct()
-    return t.customer.filter("c_acctbal < 0").select(F.col("c_nationkey").alias("k")).distinct().intersect(rich)
+    return t.customer.filter("c_acctbal < 0").select(F.col("c_nationkey").alias("k")).intersect(rich)
 
 
 @query("SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
@@ -420,9 +420,9 @@ def set_intersect_all(t: Tables) -> DataFrame:
 
 @query("SELECT p_size AS k FROM part EXCEPT SELECT CAST(l_quantity AS INTEGER) FROM lineitem WHERE l_quantity < 40")
 def set_except(t: Tables) -> DataFrame:
-    # each side keeps a row a key before they meet, as in set_intersect
+    # the right side keeps a row a key before they meet, as in set_intersect
     few = t.lineitem.filter("l_quantity < 40").select(F.col("l_quantity").cast("int")).distinct()
-    return t.part.select(F.col("p_size").alias("k")).distinct().subtract(few)
+    return t.part.select(F.col("p_size").alias("k")).subtract(few)
 
 
 @query("SELECT p_size AS k FROM part EXCEPT ALL SELECT p_size FROM part WHERE p_brand = 'Brand#11'")
