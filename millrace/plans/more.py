@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators import relational
+from millrace.operators import frames, relational
 from millrace.plans.registry import query
 from millrace.session import Tables
 
@@ -104,9 +104,8 @@ def window_groups(t: Tables) -> DataFrame:
 ) + " FROM part")
 def window_exclude(t: Tables) -> DataFrame:
     """EXCLUDE, which Spark's SQL lacks, for sums over a whole key."""
-    rows = t.part
-    for name, kind in (("others", "row"), ("apart", "group"), ("alone", "ties")):
-        rows = relational.sum_excluding(rows, "p_size", name, ["p_brand"], "p_type", kind)
+    kinds = (("others", "current row"), ("apart", "group"), ("alone", "ties"))
+    rows = frames.all_frame_aggregates(t.part, ["p_brand"], "p_type", [({name: ("sum", "p_size")}, None, None, kind) for name, kind in kinds])
     return rows.select("p_partkey", "others", "apart", "alone")
 
 
