@@ -25,6 +25,8 @@ from millrace.storage import written
 
 #: Rows of a block at least, and blocks of a side at most (a further doubling of the rows doubles the blocks' rows).
 BLOCK_ROWS, MAX_BLOCKS = 16_384, 16_384
+#: Tasks that pairs of blocks are dealt over at most.
+MAX_TASKS = 8192
 #: Blocks into which rows that are neighbours by the first attribute are cut by the second.
 SLICES = 8
 _OPS = ("<", "<=", ">", ">=")
@@ -192,7 +194,9 @@ def inequality_join(
                     columns += [pc.take(q.column(k + 2), pa.array(j)) for k in range(len(right_columns))]
                     yield from pa.table(columns, names=[*left_columns, *right_columns]).to_batches()
 
-    pairs = a.select("block", "x0", "x1", "y0", "y1").mapInArrow(meeting, "l long, r long")
+    pairs = written(a.select("block", "x0", "x1", "y0", "y1").mapInArrow(meeting, "l long, r long"), "pairs")
+    tasks = min(MAX_TASKS, max(1, pairs.count()))
     met = pairs.join(a.select(F.col("block").alias("l"), F.col("data").alias("l_data")), "l")
-    met = met.join(b.select(F.col("block").alias("r"), F.col("data").alias("r_data")), "r").select("l_data", "r_data")
-    return met.mapInArrow(join, ddl)
+    met = met.join(b.select(F.col("block").alias("r"), F.col("data").alias("r_data")), "r")
+    # few blocks make very many rows, so pairs are dealt by their number, not their bytes
+    return met.repartition(tasks, "l", "r").select("l_data", "r_data").mapInArrow(join, ddl)

@@ -72,3 +72,13 @@ def test_kinds_and_empty(spark):
         join(a, b, ("t", "<", "w"), ("v", "<", "w"))
     with pytest.raises(ValueError):
         join(a, b, ("t", "=", "u"), ("v", "<", "w"))
+
+
+def test_pairs_of_blocks_are_dealt(spark):
+    """All pairs of blocks meet; their rows were made where the left blocks lay."""
+    from pyspark.sql import functions as F
+
+    a, b = spark.range(400).selectExpr("id as k", "id as x", "id as y").coalesce(1), spark.range(400).selectExpr("id as j", "id + 500 as u", "id + 500 as w")
+    got = inequality.inequality_join(a, b, ("x", "<", "u"), ("y", "<", "w"), ["k"], ["j"], block_rows=50)
+    made = got.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in made) == 160_000 and max(r["count"] for r in made) <= 25_000
