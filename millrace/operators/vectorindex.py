@@ -5,7 +5,7 @@
 2. *Index.* Every row goes to the list of its nearest centroid, as a code of one
    byte a subspace. A list of any size is stored in blocks of bounded size.
 3. *Search.* A query looks at the blocks of its nearest lists. Distances to
-   codes are sums of table look-ups, in numpy, for packs of queries at a time; the
+   codes are products of matrices, for packs of queries at a time; the
    best of each block and query go on.
 4. The best of all blocks are compared with the vectors themselves.
 
@@ -31,6 +31,7 @@ from millrace.storage import written
 SAMPLE_ROWS = 20_000
 #: Lists at most; below, the square root of the number of rows.
 MAX_LISTS = 1024
+#: Parts of a vector, each a byte of its code, unless fit() is told otherwise.
 SUBSPACES = 16
 #: Codes of a block, queries of a pack, on average and at most.
 BLOCK_ROWS, PACK_QUERIES = 65_536, 128
@@ -77,10 +78,10 @@ def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -
     return centers
 
 
-def fit(df: DataFrame, id_col: str, vector_col: str, size: int, lists: int | None = None, sample_rows: int = SAMPLE_ROWS, seed: int = 11) -> Model:
+def fit(df: DataFrame, id_col: str, vector_col: str, size: int, lists: int | None = None, sample_rows: int = SAMPLE_ROWS, seed: int = 11, subspaces: int = SUBSPACES) -> Model:
     """Fit on the ``sample_rows`` rows with the smallest hashes of their ids, or on all if there are fewer."""
-    if size % SUBSPACES:
-        raise ValueError(f"vectors are cut into {SUBSPACES} equal parts")
+    if size % subspaces:
+        raise ValueError(f"vectors are cut into {subspaces} equal parts")
     rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.size("v") == size)
     rows = rows.filter(~F.exists("v", lambda x: x.isNull()))
     drawn = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").collect()  # bounded by the parameter
@@ -93,7 +94,7 @@ def fit(df: DataFrame, id_col: str, vector_col: str, size: int, lists: int | Non
     lists = lists or min(MAX_LISTS, max(1, int(df.count() ** 0.5)))
     centroids = k_means(x, lists, rng)
     rest = x - centroids[_nearest(x, centroids)]
-    parts = np.split(rest, SUBSPACES, axis=1)
+    parts = np.split(rest, subspaces, axis=1)
     books = [k_means(p, 256, rng) for p in parts]
     books = [np.concatenate([b, np.repeat(b[-1:], 256 - len(b), axis=0)]) for b in books]
     return Model(centroids.astype(np.float32), np.stack(books).astype(np.float32))
@@ -108,7 +109,7 @@ def build(df: DataFrame, model: Model, id_col: str, vector_col: str, block_rows:
         for batch in batches:
             x, places = unit_rows(batch.column("v"), centroids.shape[1])
             own = _nearest(x, centroids)
-            parts = np.split(x - centroids[own], SUBSPACES, axis=1)
+            parts = np.split(x - centroids[own], len(books), axis=1)
             codes = np.stack([_nearest(p, b) for p, b in zip(parts, books, strict=True)], axis=1).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(own, pa.int32()), batch.column("id").take(pa.array(places)).cast(pa.int64()), pa.array([c.tobytes() for c in codes], pa.binary())],
@@ -141,10 +142,8 @@ def build(df: DataFrame, model: Model, id_col: str, vector_col: str, block_rows:
 
 def _best(x: np.ndarray, cells: np.ndarray, books: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
     """Squared distances and places of the ``keep`` nearest codes of each residual in x."""
-    tables = np.stack([((b * b).sum(axis=1)[None] - 2 * p @ b.T) + (p * p).sum(axis=1)[:, None] for p, b in zip(np.split(x, SUBSPACES, axis=1), books, strict=True)])
-    total = np.zeros((len(x), len(cells)), np.float32)
-    for s in range(SUBSPACES):
-        total += tables[s][:, cells[:, s]]
+    coded = np.concatenate([b[cells[:, s]] for s, b in enumerate(books)], axis=1)
+    total = (x * x).sum(axis=1)[:, None] - 2 * x @ coded.T + (coded * coded).sum(axis=1)[None]
     keep = min(keep, len(cells))
     at = np.argpartition(total, keep - 1, axis=1)[:, :keep]
     return np.take_along_axis(total, at, axis=1), at
@@ -192,7 +191,7 @@ def candidates(queries: DataFrame, index: DataFrame, model: Model, probes: int,
                 x = np.frombuffer(row.column("vectors")[0].as_py(), np.float32).reshape(-1, centroids.shape[1])
                 x = x - centroids[row.column("list")[0].as_py()]
                 ids = row.column("ids")[0].values.to_numpy()
-                cells = np.frombuffer(row.column("codes")[0].as_py(), np.uint8).reshape(-1, SUBSPACES)
+                cells = np.frombuffer(row.column("codes")[0].as_py(), np.uint8).reshape(-1, len(books))
                 asked = row.column("queries")[0].values.to_numpy()
                 for low in range(0, len(x), 16):
                     gaps, at = _best(x[low : low + 16], cells, books, keep)

@@ -66,3 +66,16 @@ def test_empty(spark):
     index = vectorindex.build(df, model, "key", "v")
     assert vectorindex.search(df, df, index, model, 5, 20, 30, "key", "v").collect() == []
     assert vectorindex.recall(vectorindex.search(df, df, index, model, 5, 2, 3, "key", "v"), vectorindex.exact_neighbours(df, df, 3, "key", "v"), "key").first().wanted == 0
+
+
+def test_finer_codes_keep_more(spark):
+    """Without clusters, codes of 32 bytes keep the true ones among fewer candidates than codes of 16."""
+    x = np.random.default_rng(2).normal(size=(3000, 64))
+    df = frame(spark, x)
+    queries, hits = df.filter("key % 100 = 0"), {}
+    for parts in (16, 32):
+        model = vectorindex.fit(df, "key", "v", 64, lists=4, subspaces=parts)
+        index = vectorindex.build(df, model, "key", "v")
+        found = vectorindex.search(df, queries, index, model, 10, 4, 20, "key", "v").collect()
+        hits[parts] = sum(r.key in brute(x, r.query_id, 10) for r in found)
+    assert hits[32] >= 0.9 * 300 and hits[32] > hits[16]
