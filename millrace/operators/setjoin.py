@@ -4,7 +4,10 @@ Tokens are ordered from rare to frequent. Sets whose Jaccard similarity reaches
 t must share a token of their prefixes, the first |x| - ceil(t |x|) + 1 tokens,
 so only prefixes are joined, and frequent tokens are seldom in one. A pair must
 also be alike in length, and what is left of both sets behind the shared token
-must be enough. What passes is compared whole.
+must be enough. A signature of 64 bits, which travels with each prefix token,
+says how many tokens differ at least (after Sandes et al. 2020, bitmap filter),
+so pairs that differ too much end where they meet: they are neither shuffled nor
+joined with their sets. What passes is compared whole.
 
 Equal sets are one node; links between nodes are found once, however many copies
 they have.
@@ -26,7 +29,7 @@ def _least(n: Column, t: Fraction) -> Column:
 
 
 def token_sets(df: DataFrame, id_col: str, token_col: str) -> DataFrame:
-    """``node, size, tokens`` and the ``ids`` of each distinct set; tokens are numbers, the rarest first.
+    """``node, size, tokens`` and the ``ids`` of each distinct set; the rarest tokens first.
 
     The rows are (id, token) pairs. Nulls are left out, repeated pairs count
     once, and an id without tokens has no set. A set is one row, so its tokens
@@ -35,26 +38,40 @@ def token_sets(df: DataFrame, id_col: str, token_col: str) -> DataFrame:
     pairs = df.select(F.col(id_col).alias("id"), F.col(token_col).alias("token")).filter("id is not null and token is not null").distinct()
     pairs = written(pairs, "pairs")
     often = pairs.groupBy("token").agg(F.count("*").alias("times"))
-    # the order is by frequency, then token; a token's number is its place in it, by its frequency and a hash that breaks ties
-    rank = F.struct("times", F.xxhash64("token").alias("tie"), "token")
-    sets = pairs.join(often, "token").groupBy("id").agg(F.array_sort(F.collect_list(rank)).alias("tokens"))
+    # the order is by frequency, then token; once the tokens stand in it, their frequencies aren't kept
+    rank = F.struct("times", "token")
+    # tokens that a collation makes equal become one of them, as they must have one bit in signatures
+    ranked = pairs.withColumnRenamed("token", "as_read").join(often, F.col("as_read") == F.col("token"))
+    sets = ranked.groupBy("id").agg(F.array_sort(F.collect_list(rank)).getField("token").alias("tokens"))
     sets = sets.groupBy("tokens").agg(F.collect_list("id").alias("ids"))
     return written(sets.select(F.monotonically_increasing_id().alias("node"), F.size("tokens").cast("long").alias("size"), "tokens", "ids"), "sets")
 
 
+def signature(tokens: Column) -> Column:
+    """A long with a bit for each of 64 classes of tokens: whether an odd number of the set's tokens are in it.
+
+    Shared tokens cancel out, so two sets' signatures differ in at most as many bits as there are tokens in one of them only.
+    """
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(bit(x)))
+
+
 def candidate_pairs(sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """``a, b`` (a < b): pairs of nodes that pass the prefix, length and position filters."""
+    """``a, b`` (a < b): pairs of nodes that pass the prefix, length, position and signature filters."""
     prefix = F.col("size") - _least(F.col("size"), threshold) + 1
-    # the place of the token, from 1, and the token
-    heads = sets.select("node", "size", F.posexplode(F.slice("tokens", F.lit(1), prefix.cast("int"))).alias("at", "token"))
-    heads = heads.select("node", "size", (F.col("at") + 1).alias("at"), "token")
+    # the place of the token, from 1, and the token; the signature is made once a set, below the explosion
+    heads = sets.select("node", "size", signature(F.col("tokens")).alias("bits"), F.slice("tokens", F.lit(1), prefix.cast("int")).alias("head"))
+    heads = heads.select("node", "size", "bits", F.posexplode("head").alias("at", "token"))
+    heads = heads.select("node", "size", "bits", (F.col("at") + 1).alias("at"), "token")
     x, y = heads.select(*(F.col(c).alias(f"{c}_x") for c in heads.columns)), heads.select(*(F.col(c).alias(f"{c}_y") for c in heads.columns))
     short, long_ = F.least("size_x", "size_y"), F.greatest("size_x", "size_y")
     alike = short >= _least(long_, threshold)
     # |x and y| >= t (|x| + |y|) / (1 + t)
     needed = _least(F.col("size_x") + F.col("size_y"), threshold / (1 + threshold))
     left = F.least(F.col("size_x") - F.col("at_x"), F.col("size_y") - F.col("at_y")) + F.least("at_x", "at_y")
-    met = x.join(y, (F.col("token_x") == F.col("token_y")) & (F.col("node_x") < F.col("node_y")) & alike & (left >= needed))
+    # |x and y| = (|x| + |y| - tokens in one only) / 2
+    near = F.bit_count(F.col("bits_x").bitwiseXOR(F.col("bits_y"))) <= F.col("size_x") + F.col("size_y") - 2 * needed
+    met = x.join(y, (F.col("token_x") == F.col("token_y")) & (F.col("node_x") < F.col("node_y")) & alike & (left >= needed) & near)
     return met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
 
 

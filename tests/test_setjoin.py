@@ -4,6 +4,7 @@ import random
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.operators import setjoin
 
@@ -56,3 +57,44 @@ def test_copies_are_one_node_and_empty(spark):
     assert setjoin.set_join(df.limit(0), "id", "w", Fraction(1, 2)).collect() == []
     with pytest.raises(ValueError):
         setjoin.similar_sets(sets, Fraction(0))
+
+
+def test_pairs_that_differ_too_much_end_where_they_meet(spark):
+    """Tokens that are all alike in frequency bring most pairs together; few of those are near, and few others pass."""
+    rng = random.Random(7)
+    sets = [frozenset(rng.sample(range(60), rng.randint(3, 6))) for _ in range(500)]
+    df = spark.createDataFrame([(i, w) for i, s in enumerate(sets) for w in s], "id long, w long")
+    counted = []
+    nodes = setjoin.token_sets(df, "id", "w")
+    links = setjoin.similar_sets(nodes, Fraction(1, 2), counted).count()
+    different = sorted(set(sets), key=sorted)
+    pairs = [(a, b) for i, a in enumerate(different) for b in different[i + 1 :]]
+    assert links == sum(2 * len(a & b) >= len(a | b) for a, b in pairs) > 50
+    assert links <= counted[0] < 10 * links
+
+
+@pytest.mark.parametrize("t", [Fraction(1, 2), Fraction(9, 10)])
+def test_sets_of_more_tokens_than_a_signature_has_bits(spark, t):
+    rng = random.Random(8)
+    sets = [set(rng.sample(range(400), rng.randint(40, 150))) for _ in range(30)]
+    for k in (2, 8, 20, 30, 45, 60):
+        sets += [s ^ set(rng.sample(range(400), k)) for s in sets[:8]]
+    df = spark.createDataFrame([(i, f"t{w}") for i, s in enumerate(sets) for w in s], "id long, w string").repartition(3)
+    got = {(r.id_a, r.id_b): r.similarity for r in setjoin.set_join(df, "id", "w", t).collect()}
+    want = {(i, j): len(a & b) / len(a | b) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and Fraction(len(a & b), len(a | b)) >= t}
+    assert got == want and len(want) > 10
+
+
+def test_signatures_differ_in_no_more_bits_than_sets_in_tokens(spark):
+    rng = random.Random(9)
+    rows = [(rng.sample(range(300), rng.randint(0, 100)), rng.sample(range(300), rng.randint(0, 100))) for _ in range(200)]
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>").select("a", "b", *(setjoin.signature(F.col(c)).alias(f"of_{c}") for c in "ab"))
+    for r in df.collect():
+        assert ((r.of_a ^ r.of_b) & (2**64 - 1)).bit_count() <= len(set(r.a) ^ set(r.b))
+
+
+def test_tokens_that_a_collation_makes_equal(spark):
+    rows = [(i, f"{'kK'[i % 2]}{w}") for i, ws in enumerate(["abc", "abd", "abc", "xyz", "xyb"]) for w in ws]
+    df = spark.createDataFrame(rows, "id long, w string").selectExpr("id", "w collate UTF8_LCASE AS w")
+    got = {(r.id_a, r.id_b): r.similarity for r in setjoin.set_join(df, "id", "w", Fraction(1, 2)).collect()}
+    assert got == {(0, 1): 0.5, (0, 2): 1.0, (1, 2): 0.5, (3, 4): 0.5}
